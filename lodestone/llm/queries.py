@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import media, mixing, sharding
-from lodestone.llm.common import documents
+from lodestone.llm import langid, media, mixing, quality_knn, sharding, toxicity
+from lodestone.llm.common import documents, labels
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_texts(documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(documents(spark, sf_dir))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -20,5 +24,13 @@ def op6_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op5_source_mixing, op6_byte_sharding)}
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.quality_report(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op3_language_id, op5_source_mixing, op6_byte_sharding, op9_quality_knn, op10_counterfactual_toxicity)}
 ORACLES = {"op5_source_mixing": mixing.MIX_REPORT_SQL}
