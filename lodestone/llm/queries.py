@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import langid, media, mixing, quality_knn, sharding, toxicity
+from lodestone.llm import imatch, langid, media, mixing, packing, quality_knn, sharding, toxicity
 from lodestone.llm.common import documents, labels
 
 
@@ -12,6 +12,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_texts(documents(spark, sf_dir))
 
 
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_report(documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(documents(spark, sf_dir))
 
@@ -24,6 +28,10 @@ def op6_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(documents(spark, sf_dir))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(documents(spark, sf_dir))
+
+
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.quality_report(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -32,5 +40,5 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op3_language_id, op5_source_mixing, op6_byte_sharding, op9_quality_knn, op10_counterfactual_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_imatch_fingerprints, op3_language_id, op5_source_mixing, op6_byte_sharding, op8_best_fit_packing, op9_quality_knn, op10_counterfactual_toxicity)}
 ORACLES = {"op5_source_mixing": mixing.MIX_REPORT_SQL}
