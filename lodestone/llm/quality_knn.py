@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm.common import ship
 from lodestone.llm.textvec import blank_table, chunks, mix, powers, segments, word_hashes
-from lodestone.llm.toxicity import held_out, labelled_sample, training_rows
+from lodestone.llm.toxicity import held_out, labelled_sample
 
 BITS = 11
 GRAMS = 3
@@ -132,9 +132,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def fit(labelled: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Space:
-    """From rows (doc_id, text, label 0 / 1)."""
-    sample, stands_for = labelled_sample(labelled, label, per_class)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Space:
+    """From documents (doc_id, text) and labels (doc_id, label 0 / 1)."""
+    sample, stands_for = labelled_sample(docs, labels, label, per_class)
 
     def run(batches):
         for batch in batches:
@@ -169,7 +169,7 @@ def score(docs: DataFrame, space: Space, text: str = "text", name: str = "score"
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    space = fit(training_rows(docs, labels, "quality"))
+    space = fit(docs, labels)
     scored = score(docs.select("doc_id", "text"), space)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 

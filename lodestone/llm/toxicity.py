@@ -28,7 +28,7 @@ from lodestone.llm.textvec import chunks, letter_table, powers, segments, word_h
 
 BITS = 18
 PREFIXES = (None, 5, 7)
-PER_CLASS = 4000
+PER_CLASS = 1500
 CHUNK = 1 << 21
 ROUNDS = 250
 RIDGE = 1e-3
@@ -175,18 +175,21 @@ def fit_model(document: np.ndarray, feature: np.ndarray, words: np.ndarray, labe
     return model
 
 
-def labelled_sample(labelled: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, float]]:
-    """A hash sample of about per_class rows of each label, and what each stands for."""
-    sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}  # two rows
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+    """(doc_id, text, label) of a hash sample of about per_class labelled rows of each label outside the held-out part, and what
+    each stands for. The sample's ids, at most about 2 x per_class, are broadcast, so that the texts stay where they are."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias(label))
+    sizes = {r[0]: r[1] for r in known.groupBy(label).count().collect()}  # two rows
     share = F.lit(0.0)
     for x, n in sizes.items():
         share = F.when(F.col(label) == x, min(1.0, per_class / n)).otherwise(share)
-    return labelled.where(unit_hash("doc_id", seed=10) < share), {x: max(1.0, n / per_class) for x, n in sizes.items()}
+    drawn = known.where(unit_hash("doc_id", seed=10) < share)
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), {x: max(1.0, n / per_class) for x, n in sizes.items()}
 
 
-def fit(labelled: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """From rows (doc_id, text, label 0 / 1)."""
-    sample, stands_for = labelled_sample(labelled, label, per_class)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
+    """From documents (doc_id, text) and labels (doc_id, label 0 / 1); of several labels of one id the larger counts."""
+    sample, stands_for = labelled_sample(docs, labels, label, per_class)
 
     def run(batches):
         for batch in batches:
@@ -203,10 +206,11 @@ def fit(labelled: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -
     lists = found.column("features").combine_chunks()
     size = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy()
-    document = np.repeat(np.arange(len(y)), size)
+    document = np.repeat(np.arange(len(y), dtype=np.int32), size)
     # back to an entry for each word under each kind of beginning
-    kind = np.concatenate([np.repeat(np.arange(len(PREFIXES)), n) for n in words]) if len(words) else np.zeros(0, int)
+    kind = np.repeat(np.tile(np.arange(len(PREFIXES), dtype=np.int8), len(words)), np.repeat(words, len(PREFIXES)))
     order = np.argsort(kind, kind="stable")
+    del kind
     return fit_model(document[order], flat[order], words, y, np.array([stands_for.get(int(v), 1.0) for v in y]))
 
 
@@ -227,13 +231,8 @@ def held_out() -> Column:
     return F.coalesce(id_remainder(HELD_OUT[0]) == HELD_OUT[1], F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias(label))
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = fit(training_rows(docs, labels, "toxic"))
+    model = fit(docs, labels)
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
