@@ -18,6 +18,9 @@ share an id the smallest text is the id's next document; a null id comes after a
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,20 +67,20 @@ def subset_hashes(terms: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(FAMILIES)), family))
 
 
-def likeness(a: Column, b: Column, equal: Column) -> Column:
+def agreement(a: Column, b: Column) -> Column:
+    """Per value 1 if both agree, -1 if not, 0 where neither has terms. To be a column of its own, as `likeness` reads it often."""
+    return F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(-1))
+
+
+def likeness(pairs: Column, equal: Column) -> Column:
     """The largest share of agreeing values among subsets of one density that at least half of the families have terms in."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(-1))
-    shares = F.transform(
-        F.sequence(F.lit(0), F.lit(LEVELS - 1)),
-        lambda level: F.aggregate(
-            F.sequence(F.lit(0), F.lit(FAMILIES - 1)),
-            F.struct(F.lit(0).alias("same"), F.lit(0).alias("any")),
-            lambda acc, f: F.struct((acc["same"] + (pairs[f * LEVELS + level] == 1).cast("int")).alias("same"), (acc["any"] + (pairs[f * LEVELS + level] != 0).cast("int")).alias("any")),
-            lambda acc: F.when(acc["any"] >= FAMILIES // 2, acc["same"] / acc["any"]).otherwise(0.0),
-        ),
-    )
-    nothing = F.forall(pairs, lambda x: x == 0)
-    return F.when(nothing, equal.cast("double")).otherwise(F.array_max(shares))
+    shares = []
+    for level in range(LEVELS):
+        values = [pairs[f * LEVELS + level] for f in range(FAMILIES)]
+        same, held = (reduce(add, [(v == 1).cast("int") for v in values]), reduce(add, [F.abs(v) for v in values]))
+        shares.append(F.when(held >= FAMILIES // 2, same / held).otherwise(0.0))
+    nothing = ~F.array_contains(pairs, 1) & ~F.array_contains(pairs, -1)
+    return F.when(nothing, equal.cast("double")).otherwise(F.greatest(*shares))
 
 
 def as_text(values: Column) -> Column:
@@ -145,6 +148,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     return (
         found.select("id", "hash", "about.*", "own", "edit", "rows")
         .join(following, ["next_id", "next_hash"])
+        .withColumns({"with_edit": agreement(F.col("own"), F.col("edit")), "with_next": agreement(F.col("own"), F.col("next_own"))})
         .withColumn("_", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
         .select(
             F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
@@ -152,7 +156,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
             "edited_sha256",
             as_text(F.col("own")).alias("fingerprint"),
             as_text(F.col("edit")).alias("edited_fingerprint"),
-            likeness(F.col("own"), F.col("edit"), F.col("unchanged")).alias("near_edited"),
-            likeness(F.col("own"), F.col("next_own"), F.col("hash") == F.col("next_hash")).alias("near_next"),
+            likeness(F.col("with_edit"), F.col("unchanged")).alias("near_edited"),
+            likeness(F.col("with_next"), F.col("hash") == F.col("next_hash")).alias("near_next"),
         )
     )

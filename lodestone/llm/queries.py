@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import imatch, langid, media, mixing, packing, quality_knn, sharding, suffix_tree, toxicity
+from lodestone.llm import imatch, langid, media, mixing, neardup, packing, quality_knn, sharding, suffix_tree, toxicity
 from lodestone.llm.common import documents, labels
 
 
@@ -20,6 +20,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(documents(spark, sf_dir))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -44,5 +48,5 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_imatch_fingerprints, op3_language_id, op5_source_mixing, op6_byte_sharding, op7_suffix_tree_lm, op8_best_fit_packing, op9_quality_knn, op10_counterfactual_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_imatch_fingerprints, op3_language_id, op4_minhash_near_dedup, op5_source_mixing, op6_byte_sharding, op7_suffix_tree_lm, op8_best_fit_packing, op9_quality_knn, op10_counterfactual_toxicity)}
 ORACLES = {"op5_source_mixing": mixing.MIX_REPORT_SQL}
