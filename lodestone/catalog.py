@@ -1,4 +1,4 @@
 """All queries of the engine by name, with their SQL for comparison."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestone.queries import geometry, store  # noqa: F401
+from lodestone.queries.base import ORACLES, QUERIES  # noqa: F401
