@@ -34,7 +34,7 @@ DEPTH = 8
 SYMBOLS = 64
 ESCAPE, SPACE, END = 0, 1, 2
 OTHERS = 0x110000
-LEAST_SHARE = 5e-6
+LEAST_SHARE = 1e-5
 DIVERGENCE = 0.002
 EVIDENCE = 10.0
 SMOOTHING = 24.0
@@ -179,24 +179,26 @@ class Tree:
 
     def learn(self, counts: np.ndarray) -> None:
         """counts: (longest context, next symbol) over the training texts. Shorter contexts have those of their extensions as well."""
-        counts = counts.astype(np.float64).reshape(len(self.parent), SYMBOLS)
-        for s in range(len(self.parent) - 1, 0, -1):
-            counts[self.parent[s]] += counts[s]
-        total = counts.sum(1)
-        p = np.empty_like(counts)
-        p[0] = (counts[0] + 0.5) / (total[0] + 0.5 * SYMBOLS)
+        counts = counts.astype(np.float32).reshape(len(self.parent), SYMBOLS)
+        for d in range(DEPTH, 0, -1):
+            level = np.flatnonzero(self.depth == d)
+            np.add.at(counts, self.parent[level], counts[level])
+        total = counts.sum(1, dtype=np.float64)
+        log = np.empty_like(counts)
+        root = (counts[0] + 0.5) / (total[0] + 0.5 * SYMBOLS)
+        log[0] = np.log10(root)
         kept = np.ones(len(total), bool)
         for d in range(1, DEPTH + 1):
-            level = np.flatnonzero(self.depth == d)
-            above = p[self.parent[level]]
-            own = (counts[level] + SMOOTHING * above) / (total[level] + SMOOTHING)[:, None]
-            gain = (own * np.log(own / above)).sum(1)
-            kept[level] = (gain >= DIVERGENCE) & (gain * total[level] >= EVIDENCE) & (total[level] >= LEAST_SHARE * total[0])
-            p[level] = np.where(kept[level][:, None], own, above)  # what isn't retained speaks as its longest retained suffix
+            at = np.flatnonzero(self.depth == d)
+            for level in np.array_split(at, len(at) // 8192 + 1):
+                above = log[self.parent[level]]
+                own = np.log10((counts[level] + SMOOTHING * 10.0**above) / (total[level] + SMOOTHING)[:, None])
+                gain = (10.0**own * (own - above)).sum(1) * np.log(10)
+                kept[level] = (gain >= DIVERGENCE) & (gain * total[level] >= EVIDENCE) & (total[level] >= LEAST_SHARE * total[0])
+                log[level] = np.where(kept[level][:, None], own, above)  # what isn't retained speaks as its longest retained suffix
         self.retained = kept
-        log = np.log10(p)
         log[:, ESCAPE] -= np.log10(OTHERS)
-        self.log = log.astype(np.float32).reshape(-1)
+        self.log = log.reshape(-1)
 
     def score(self, symbols: np.ndarray, places: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         state = self.states(symbols, places)
