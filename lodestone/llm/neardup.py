@@ -10,9 +10,11 @@ A class is posted under each (coordinate, value) of its signature of `COORDINATE
   pairs across components are formed;
 * collisions are counted over the whole signatures and pairs below MATCHES dropped; the others are confirmed on full sets.
 
-First each class is confirmed with the best of its lists' ends, which links large groups by as many pairs as they have
-classes. Then every pair left across components is formed, so that no link between components is lost, whatever
-the size of a list. Components come from minimum labels with pointer jumping, kept in the checkpoint folder by rounds.
+First each class is confirmed with the best of its lists' centres, which links large groups by as many pairs as they have
+classes. Then every pair left across components is confirmed too, so that no link between components is lost: in lists of up
+to `SHORT` as rows; longer lists are gathered by the classes they share, and all across components compared in blocks of
+`BLOCK` by `BLOCK` classes, signatures first and full sets where these agree, which give back only what joins
+components. Components come from minimum labels with pointer jumping, kept in the checkpoint folder by rounds.
 
 Defined results: null or wordless texts have an empty set, are linked with nothing and kept; fewer than five words are one
 shingle; rows may repeat and ids too (a component's id is the smallest id of its rows, a null id counts as none); an empty
@@ -39,6 +41,8 @@ PREFIX = COORDINATES - MATCHES + 1
 SIMILAR = (75, 100)
 CHUNK = 1 << 20
 MOST_ROUNDS = 64
+SHORT = 32
+BLOCK = 256
 
 
 def factors(n: int, start: int) -> np.ndarray:
@@ -165,18 +169,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def posted(nodes: DataFrame) -> DataFrame:
-    """(key, node): the prefix of each signature's postings, from rare to common, in lists of two and more."""
+    """(key, node, central): the prefix of each signature's postings, from rare to common, in lists of two and more.
+
+    central is the larger, the more common a class's values are: the unedited middle of a group has the most.
+    """
     postings = nodes.select("node", F.posexplode("signature").alias("at", "value")).select("node", (F.shiftleft(F.col("at").cast("bigint"), 32) + F.col("value").cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
     own = postings.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("own"))
     room = F.size("own") - (COORDINATES - PREFIX)  # postings of this class alone come first
-    return own.where(room > 0).select("node", F.explode(F.slice("own", 1, room)).alias("p")).select("node", "p.key")
+    central = F.aggregate("own", F.lit(0).cast("bigint"), lambda n, p: n + p["f"])
+    return own.where(room > 0).select("node", central.alias("central"), F.explode(F.slice("own", 1, room)).alias("p")).select("node", "central", "p.key")
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """Each class with the ends of its lists: as many pairs as postings at most."""
-    ends = lists.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    joined = lists.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+    """Each class with the centres of its lists: as many pairs as postings at most."""
+    ends = lists.groupBy("key").agg(F.max(F.struct("central", "node")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.node").alias("end"))
+    joined = lists.join(ends, "key").where("node <> end")
     return joined.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
 
 
@@ -186,17 +194,99 @@ def best_of_each(pairs: DataFrame) -> DataFrame:
     return each.groupBy("node").agg(F.max(F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of a list across components. The list's largest component stands on one side only."""
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, size) of the lists that have more than one component."""
     own = lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    by_label = own.groupBy("key", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
-    by_key = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("size"), F.bit_xor("x").alias("x")).where("labels > 1")
-    once = by_key.groupBy("x", "size").agg(F.min(F.struct("key", "most.label")).alias("k")).select("k.key", F.col("k.label").alias("most"))
-    held = durable(own.join(once, "key"))
-    left = held.where("label <> most").select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    right = held.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), "most")
-    across = left.join(right, "key").where("label_a <> label_b and (label_b = most or a < b)")
-    return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    held = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
+    return own.join(held.select("key", "size"), "key")
+
+
+def short_pairs(held: DataFrame) -> DataFrame:
+    """All pairs across components in the short lists: fewer than SHORT a posting."""
+    short = held.where(F.col("size") <= SHORT)
+    left = short.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
+    right = short.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    return left.join(right, "key").where("a < b and label_a <> label_b").select("a", "b").distinct()
+
+
+def spanning(left_label: np.ndarray, right_label: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Of the links i - j those that join labels not yet joined by earlier ones."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for k, (a, b) in enumerate(zip(left_label[i].tolist(), right_label[j].tolist(), strict=True)):
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            out.append(k)
+    return out
+
+
+def compare_blocks(left: list, right: list) -> list[tuple[int, int]]:
+    """Confirmed pairs that join components. left, right: lists of (node, label, signature, members)."""
+    label_a, label_b = (np.array([r[1] for r in x], np.int64) for x in (left, right))
+    sig_a, sig_b = (np.stack([np.asarray(r[2], np.int32) for r in x]) for x in (left, right))
+    same = np.zeros((len(left), len(right)), np.int16)
+    for k in range(COORDINATES):
+        same += sig_a[:, k][:, None] == sig_b[:, k][None, :]
+    near = (same >= MATCHES) & (label_a[:, None] != label_b[None, :])
+    rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    if not len(rows):
+        return []
+    sets_a, sets_b = ([np.asarray(x[i][3], np.int64) for i in at] for x, at in ((left, rows), (right, columns)))
+    size_a, size_b = (np.array([len(x) for x in y]) for y in (sets_a, sets_b))
+    both = np.zeros((len(rows), len(columns)), np.int64)
+    common = np.intersect1d(np.concatenate(sets_a), np.concatenate(sets_b))
+    for at in range(0, len(common), 1 << 14):  # members that both sides have, some at a time
+        some = common[at : at + (1 << 14)]
+
+        def marks(sets: list, some: np.ndarray = some) -> np.ndarray:
+            out = np.zeros((len(sets), len(some)), np.float32)
+            for i, x in enumerate(sets):
+                place = np.searchsorted(some, x)
+                place[place == len(some)] = 0
+                out[i, place[some[place] == x]] = 1
+            return out
+
+        both += (marks(sets_a) @ marks(sets_b).T).astype(np.int64)
+    alike = near[np.ix_(rows, columns)] & (both * SIMILAR[1] >= (size_a[:, None] + size_b[None, :] - both) * SIMILAR[0])
+    i, j = np.nonzero(alike)
+    return [(left[rows[i[k]]][0], right[columns[j[k]]][0]) for k in spanning(label_a[rows], label_b[columns], i, j)]
+
+
+def long_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) across components in the long lists, enough of them to join what is linked.
+
+    Lists that share classes make a cluster; in it, all classes outside its largest component are compared with all, block by
+    block. A row for each class and block it meets is shuffled; a task holds two blocks.
+    """
+    long = held.where(F.col("size") > SHORT)
+    ends = long.groupBy("key").agg(F.min("node").alias("end"))
+    cluster_of = components(long.join(ends, "key").where("node <> end").select(F.col("node").alias("a"), F.col("end").alias("b"))).withColumnRenamed("label", "cluster")
+    members = durable(long.select("node", "label").distinct().join(cluster_of, "node"))
+    most = members.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("size"))
+    most = most.select("cluster", F.col("m.label").alias("most"), (F.col("size") - F.col("m.n")).alias("outside"), "size")
+    held_in = members.join(most, "cluster").join(nodes.select("node", "signature"), "node").join(sets, "node")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    fields = ("cluster", "node", "label", "signature", "members")
+    left = held_in.where("label <> most").select(*[F.col(c).alias(f"{c}_l") for c in fields], own("outside").alias("i_l"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("j_l"))
+    right = held_in.select(*fields, own("size").alias("j"), F.explode(F.when(F.col("outside") > 0, F.sequence(F.lit(0), blocks("outside") - 1))).alias("i"))
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        found: list = []
+        if one.num_rows and other.num_rows:
+            a, b = (list(zip(t[f"node{e}"].to_pylist(), t[f"label{e}"].to_pylist(), [x.values.to_numpy() for x in t[f"signature{e}"]], [x.values.to_numpy() for x in t[f"members{e}"]], strict=True)) for t, e in ((one, "_l"), (other, "")))
+            found = compare_blocks(a, b)
+        return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+    return left.groupBy("cluster_l", "i_l", "j_l").cogroup(right.groupBy("cluster", "i", "j")).applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -209,9 +299,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = durable(full_sets(docs, nodes.select("node", "doc_id")))
     stars = durable(confirmed(best_of_each(alike(star_pairs(lists), nodes)), sets))
     labels = components(stars)
-    rest = durable(confirmed(alike(open_pairs(lists, labels), nodes).select("a", "b"), sets))
-    if not rest.isEmpty():
-        labels = components(stars.union(rest))
+    held = durable(open_lists(lists, labels))
+    short = durable(confirmed(alike(short_pairs(held), nodes).select("a", "b"), sets))
+    links = stars.union(short)
+    if not short.isEmpty():
+        labels = components(links)
+    held = durable(open_lists(held.where(F.col("size") > SHORT).select("key", "node"), labels))
+    if not held.isEmpty():
+        labels = components(links.union(durable(long_links(held, nodes, sets))))
     named = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = named.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
