@@ -62,7 +62,7 @@ def bradley_terry(edges: DataFrame, extra: float = 0.1, tolerance: float = 1e-9,
         out = pd.DataFrame({"method": names, "strength": p, "log_strength": np.log(p), "stderr": error, "converged": done}).sort_values(["strength", "method"], ascending=[False, True])
         return out.assign(rank=np.arange(1, len(out) + 1))
 
-    return regularised(edges, extra).groupBy(F.lit(1)).applyInPandas(fit, "method string, strength double, log_strength double, stderr double, converged boolean, rank bigint")
+    return regularised(edges, extra).withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(fit, "method string, strength double, log_strength double, stderr double, converged boolean, rank bigint")
 
 
 def bootstrap_numpy(values: DataFrame, group: str, value: str, resamples: int = 2000, seed: int = 12345) -> DataFrame:
