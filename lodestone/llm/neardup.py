@@ -157,17 +157,28 @@ def components(edges: DataFrame) -> DataFrame:
     links = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = durable(links.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     for _ in range(MOST_ROUNDS):
-        of = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
+        of = labels.select(F.col("node").alias("b"), F.col("label").alias("near")).hint("merge")
         least = links.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        step = labels.join(least, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        found = durable(step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
+        step = labels.join(least.hint("merge"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        for _ in range(2):
+            jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further")).hint("merge")
+            step = step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label"))
+        found = durable(step)
         labels = found.select("node", "label")
         if found.where("was <> label").isEmpty():
             return labels
     raise RuntimeError("the components did not settle")
 
 
+def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) with the components joined that links (a, b) connect; a node without label is its own."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")).hint("merge")
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    new = components(named.where("a <> b").distinct()).withColumnRenamed("node", "old").withColumnRenamed("label", "new")
+    every = labels.select("node", F.col("label").alias("old")).union(new.select(F.col("old").alias("node"), "old").join(labels.select("node"), "node", "left_anti"))
+    return every.join(new, "old", "left").select("node", F.coalesce("new", "old").alias("label"))
+
+
 def posted(nodes: DataFrame) -> DataFrame:
     """(key, node, central): the prefix of each signature's postings, from rare to common, in lists of two and more.
 
@@ -300,13 +311,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = durable(confirmed(best_of_each(alike(star_pairs(lists), nodes)), sets))
     labels = components(stars)
     held = durable(open_lists(lists, labels))
-    short = durable(confirmed(alike(short_pairs(held), nodes).select("a", "b"), sets))
-    links = stars.union(short)
-    if not short.isEmpty():
-        labels = components(links)
-    held = durable(open_lists(held.where(F.col("size") > SHORT).select("key", "node"), labels))
-    if not held.isEmpty():
-        labels = components(links.union(durable(long_links(held, nodes, sets))))
+    rest = confirmed(alike(short_pairs(held), nodes).select("a", "b"), sets)
+    if not held.where(F.col("size") > SHORT).isEmpty():
+        rest = rest.union(long_links(held, nodes, sets))
+    rest = durable(rest)
+    if not rest.isEmpty():
+        labels = joined_by(labels, rest)
     named = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = named.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
