@@ -149,15 +149,17 @@ class Tree:
     """contexts as a trie from the newest symbol back: child[state * SYMBOLS + symbol], the last state being the dead end."""
 
     def __init__(self, characters: list[int], contexts: list[str]):
+        self.characters = characters[: SYMBOLS - 3]
         self.symbol_of = np.zeros(OTHERS, np.uint8)
-        for i, c in enumerate(characters[: SYMBOLS - 3]):
+        for i, c in enumerate(self.characters):
             self.symbol_of[c] = 3 + i
-        known = {"\x01": SPACE, "\x02": END} | {chr(c): int(self.symbol_of[c]) for c in characters[: SYMBOLS - 3] if c > 2}
-        tuples = sorted({tuple(known[c] for c in reversed(x)) for x in contexts if all(c in known for c in x)}, key=lambda x: (len(x), x))
-        state = {(): 0}
-        for x in tuples:
+        known = {"\x01": SPACE, "\x02": END} | {chr(c): int(self.symbol_of[c]) for c in self.characters if c > 2}
+        tuples = {tuple(known[c] for c in reversed(x)): x for x in contexts if all(c in known for c in x)}
+        state, self.contexts = {(): 0}, []
+        for x in sorted(tuples, key=lambda x: (len(x), x)):
             if x[:-1] in state:
                 state[x] = len(state)
+                self.contexts.append(tuples[x])
         n = len(state)
         self.child = np.full((n + 1) * SYMBOLS, n, np.int32)
         self.parent, self.depth = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -167,6 +169,24 @@ class Tree:
                 self.child[state[x[:-1]] * SYMBOLS + x[-1]] = s
         self.log: np.ndarray | None = None
 
+    def __getstate__(self) -> tuple:
+        """Only what the rest is built from is sent."""
+        return self.characters, self.contexts, self.log
+
+    def __setstate__(self, sent: tuple) -> None:
+        self.__init__(*sent[:2])
+        self.log = sent[2]
+
+    def pruned(self) -> Tree:
+        """Without the contexts that are neither retained nor on the way to one that is."""
+        held = self.retained.copy()
+        for d in range(DEPTH, 0, -1):
+            level = np.flatnonzero((self.depth == d) & held)
+            held[self.parent[level]] = True
+        out = Tree(self.characters, [x for x, keep in zip(self.contexts, held[1:].tolist(), strict=True) if keep])
+        out.log = self.log.reshape(-1, SYMBOLS)[held].reshape(-1)
+        return out
+
     def states(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The longest context in the tree that ends before each place."""
         dead = len(self.parent)
@@ -247,6 +267,7 @@ def fit(training: DataFrame) -> Model:
     contexts = found.where("kind = 2").select("context").toArrow().column("context").to_pylist()
     tree = Tree(characters, contexts)
     tree.learn(count_next(training, tree))
+    tree = tree.pruned()
     frequent = words.where(F.col("c") >= max(1.0, FREQUENT * n_tokens)).where(F.lit(n_tokens) > 0).toArrow()
     hashes, counts = frequent.column("word").to_numpy(), frequent.column("c").to_numpy()
     order = np.argsort(hashes)
