@@ -67,8 +67,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside:
         length = np.minimum(length, prefix)
     position = np.arange(len(data)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(data)]))))
     value = (data.astype(np.uint64) + np.uint64(1)) * pows[position & (POWERS - 1)]
-    if position.max(initial=0) >= POWERS:  # a word beyond the table of powers: each block of it gets its own factor
-        value = mix(value + (position // POWERS).astype(np.uint64) * ODD)
+    long = np.flatnonzero(position >= POWERS)  # beyond the table of powers each block of a word gets its own factor
+    if len(long):
+        value[long] = mix(value[long] + (position[long] // POWERS).astype(np.uint64) * ODD)
     value *= inside
     if prefix is not None:
         value *= position < prefix

@@ -79,3 +79,8 @@ def test_one_of_each_keeps_columns_and_rows(spark):
 def test_names_of_sets_follow_the_set(n):
     a = neardup.sets_of([" ".join("abcdefghi"[:n]), " ".join("abcdefghi"[:n]).upper(), "zz"])
     assert neardup.node_of(a[0]) == neardup.node_of(a[1]) != neardup.node_of(a[2])
+
+
+def test_names_do_not_depend_on_neighbours():
+    text = "one two three four five six seven"
+    assert neardup.node_of(neardup.sets_of([text])[0]) == neardup.node_of(neardup.sets_of(["y" * 20000, text, "z " * 9])[1])
