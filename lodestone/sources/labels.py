@@ -52,7 +52,7 @@ def corner_lines(spark: SparkSession, path: str, fields: int) -> DataFrame:
     """Text labels, one box a line as `x1 y1 x2 y2` with more fields behind (5 with a class). Lines that don't convert or hold no area are left out."""
     raw = spark.read.text(path).select(file_stem().alias("image_id"), F.split(F.trim("value"), r"\s+").alias("p"), F.monotonically_increasing_id().alias("_line"))
     whole = raw.where((F.size("p") == fields) & F.forall("p", lambda s: s.try_cast("int").isNotNull()))
-    n = F.transform("p", lambda s: s.cast("int"))
+    n = F.transform("p", lambda s: s.try_cast("int"))
     c = whole.select("image_id", "_line", n[0].alias("x"), n[1].alias("y"), (n[2] - n[0]).alias("w"), (n[3] - n[1]).alias("h")).where("w >= 1 and h >= 1 and x >= 0 and y >= 0")
     return c.withColumn("gid", (F.row_number().over(W.partitionBy("image_id").orderBy("_line")) - 1).cast("bigint")).select("image_id", "gid", "x", "y", "w", "h")
 
