@@ -3,15 +3,18 @@
 A text is its words, A-Z in lower case, each followed by one boundary symbol, and an end symbol. The alphabet is the
 commonest characters of the training texts; others share an escape symbol. The tree's contexts have variable length:
 
-* candidates are the contexts of up to `DEPTH` symbols that make up `LEAST_SHARE` of a block of training text or more (every
-  context above that share of the whole corpus is one, as it must reach it in some block);
+* a context of up to `DEPTH` symbols needs `LEAST_COUNT` occurrences in all training texts, or LEAST_SHARE of a small corpus;
+* candidates are found by blocks: what has n occurrences in B blocks has n / B in one of them, so lesser counts of a block are
+  left out, and what may still have the occurrences, with all that was left out, is a candidate, however texts are dealt;
 * their next symbols are then counted exactly over all training texts;
-* a context is retained if it has that share of the corpus and its next-symbol distribution diverges from that of the
+* a context is retained if it has the occurrences and its next-symbol distribution diverges from that of the
   next shorter one, by `DIVERGENCE` nats per symbol and `EVIDENCE` nats in all;
 * distributions are smoothed towards the next shorter context's, down to the root's;
 * a symbol is scored in the longest retained suffix of what precedes it.
 
-LEAST_SHARE bounds the tree: at most DEPTH / LEAST_SHARE contexts, whatever the corpus; that is what is broadcast.
+The tree grows with the corpus. Its contexts stay in a table, sorted from the newest symbol back, and are learned and sent in
+slices of `SLICE` of them with the shorter ones they rest on: a broadcast is bounded, and a pass over the texts is made for each.
+The driver holds what is retained, at most DEPTH / LEAST_COUNT of the symbols.
 Word counts have no bound: words above `FREQUENT` of all tokens (at most 1 / FREQUENT) are looked up in a broadcast table,
 the rest by a join.
 
@@ -21,6 +24,8 @@ learned from; without training rows all symbols are equally likely; repeated row
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,13 +40,15 @@ SYMBOLS = 64
 ESCAPE, SPACE, END = 0, 1, 2
 OTHERS = 0x110000
 LEAST_SHARE = 1e-5
+LEAST_COUNT = 1000
+SLICE = 100_000
 DIVERGENCE = 0.002
 EVIDENCE = 10.0
 SMOOTHING = 24.0
 FREQUENT = 5e-7
 BLOCK = 6_000_000
+WHOLE = (0, 1 << 6 * DEPTH)
 CHUNK = 1 << 20
-LEAST_IN_BLOCK = 8
 END_WORD = 0x5E2D58D8B3BCDF1A  # the end token's place among word hashes
 
 
@@ -73,16 +80,14 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
 
-def block_contexts(pieces: list[np.ndarray]) -> list[str]:
-    """The contexts, oldest symbol first, that have LEAST_SHARE of a block of raw code-point streams. Its own 254 commonest characters stand for themselves."""
-    flat = np.concatenate(pieces)
-    seen = np.bincount(flat)
+def block_contexts(pieces: list[np.ndarray], least: int) -> tuple[list[str], list[int]]:
+    """The contexts, oldest symbol first, that occur `least` times in a block of raw code-point streams, and how often. Its own 254 commonest characters stand for themselves."""
+    seen = np.bincount(np.concatenate(pieces))
     common = np.argsort(-seen, kind="stable")[:254]
     common = common[seen[common] > 0]
     local = np.zeros(len(seen), np.uint8)
     local[common] = np.arange(1, len(common) + 1)
-    least, out = max(LEAST_IN_BLOCK, LEAST_SHARE * len(flat)), []
-    codes = []
+    points, out, times, codes = np.concatenate(([0], common)).astype(np.uint32), [], [], []
     for x in pieces:
         x = local[x].astype(np.uint64)
         code = np.zeros(len(x) - DEPTH + 1, np.uint64)
@@ -91,20 +96,20 @@ def block_contexts(pieces: list[np.ndarray]) -> list[str]:
         codes.append(code)
     keys, n = np.unique(np.concatenate(codes), return_counts=True)
     for d in range(DEPTH, 0, -1):
-        held = keys[n >= least]
-        for key in held.tolist():
-            context = [key >> 8 * i & 255 for i in range(d)]
-            if all(context):
-                out.append("".join(chr(common[c - 1]) for c in context))
+        held = n >= least
+        symbols = np.stack([(keys[held] >> np.uint64(8 * i)) & np.uint64(255) for i in range(d)], 1)
+        known = symbols.all(1)
+        out += np.ascontiguousarray(points[symbols[known]]).view(f"<U{d}").reshape(-1).tolist()
+        times += n[held][known].tolist()
         keys = keys >> np.uint64(8)
         first = np.concatenate(([True], keys[1:] != keys[:-1]))
         n = np.add.reduceat(n, np.flatnonzero(first)) if len(n) else n
         keys = keys[first]
-    return out
+    return out, times
 
 
-def survey(docs: DataFrame) -> DataFrame:
-    """(kind, key, context, n) over all training texts: 0 words by hash, 1 characters, 2 candidate contexts (chr(1) a boundary, chr(2) an end)."""
+def survey(docs: DataFrame, least: int) -> DataFrame:
+    """(kind, key, context, n, blocks) over all training texts: 0 words by hash, 1 characters, 2 contexts (chr(1) a boundary, chr(2) an end) as far as a block has `least`, 3 blocks."""
 
     def run(batches):
         pows, raw = powers(), np.arange(OTHERS, dtype=np.uint32)
@@ -113,9 +118,12 @@ def survey(docs: DataFrame) -> DataFrame:
 
         def flush():
             nonlocal pieces, held
-            found = block_contexts(pieces) if pieces else []
-            pieces, held = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), 2, np.int32)), pa.array(np.zeros(len(found), np.int64)), pa.array(found, pa.string()), pa.array(np.ones(len(found), np.int64))], names=["kind", "key", "context", "n"])
+            found, n = block_contexts(pieces, least) if pieces else ([], [])
+            blocks, pieces, held = int(bool(pieces)), [], 0
+            for at in range(0, len(found) + 1, 100_000):
+                part = found[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), 2, np.int32)), pa.array(np.zeros(len(part), np.int64)), pa.array(part, pa.string()), pa.array(n[at : at + 100_000], pa.int64())], names=["kind", "key", "context", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([3] * blocks, pa.int32()), pa.array([0] * blocks, pa.int64()), pa.nulls(blocks, pa.string()), pa.array([1] * blocks, pa.int64())], names=["kind", "key", "context", "n"])
 
         for batch in batches:
             for _, texts in chunks([t or "" for t in batch.column(0).to_pylist()], CHUNK):
@@ -129,8 +137,8 @@ def survey(docs: DataFrame) -> DataFrame:
                 pieces.append(stream(codes, inside, owner, len(texts), raw)[0])
                 held += len(pieces[-1])
                 if held >= BLOCK:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
         if words:
             keys, n = summed(words)
             for at in range(0, len(keys), 100_000):
@@ -142,7 +150,7 @@ def survey(docs: DataFrame) -> DataFrame:
             kind, key, n = zip(*tail, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.nulls(len(tail), pa.string()), pa.array(n, pa.int64())], names=["kind", "key", "context", "n"])
 
-    return docs.select("text").mapInArrow(run, "kind int, key bigint, context string, n bigint").groupBy("kind", "key", "context").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "kind int, key bigint, context string, n bigint").groupBy("kind", "key", "context").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"))
 
 
 class Tree:
@@ -187,6 +195,19 @@ class Tree:
         out.log = self.log.reshape(-1, SYMBOLS)[held].reshape(-1)
         return out
 
+    def code(self, context: str) -> int:
+        """A context's place in the order of the slices: newest symbol first."""
+        known = {"\x01": SPACE, "\x02": END}
+        return sum((known.get(c) or int(self.symbol_of[ord(c)])) << 6 * (DEPTH - 1 - i) for i, c in enumerate(reversed(context)))
+
+    @staticmethod
+    def joined(trees: list[Tree]) -> Tree:
+        """One tree of several learned ones."""
+        row = {x: t.log.reshape(-1, SYMBOLS)[1 + i] for t in trees for i, x in enumerate(t.contexts)}
+        out = Tree(trees[0].characters, list(row))
+        out.log = np.concatenate([trees[0].log[:SYMBOLS], *[row[x] for x in out.contexts]])
+        return out
+
     def states(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The longest context in the tree that ends before each place."""
         dead = len(self.parent)
@@ -214,15 +235,22 @@ class Tree:
                 above = log[self.parent[level]]
                 own = np.log10((counts[level] + SMOOTHING * 10.0**above) / (total[level] + SMOOTHING)[:, None])
                 gain = (10.0**own * (own - above)).sum(1) * np.log(10)
-                kept[level] = (gain >= DIVERGENCE) & (gain * total[level] >= EVIDENCE) & (total[level] >= LEAST_SHARE * total[0])
+                kept[level] = (gain >= DIVERGENCE) & (gain * total[level] >= EVIDENCE) & (total[level] >= min(LEAST_COUNT, LEAST_SHARE * total[0]))
                 log[level] = np.where(kept[level][:, None], own, above)  # what isn't retained speaks as its longest retained suffix
         self.retained = kept
         log[:, ESCAPE] -= np.log10(OTHERS)
         self.log = log.reshape(-1)
 
-    def score(self, symbols: np.ndarray, places: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    def score(self, symbols: np.ndarray, places: np.ndarray, owner: np.ndarray, n: int, span: tuple[int, int] = WHOLE) -> np.ndarray:
+        """The sum of each text over the places whose preceding symbols lie in the span: a longest context is in it or rests below its first one."""
+        if span != WHOLE:
+            code = np.zeros(len(places), np.int64)
+            for d in range(1, DEPTH + 1):
+                code = code << 6 | symbols[places - d]
+            own = (code >= span[0]) & (code < span[1])
+            places, owner = places[own], owner[own]
         state = self.states(symbols, places)
-        return np.bincount(owner, self.log[state.astype(np.int64) * SYMBOLS + symbols[places]].astype(np.float64), n)
+        return np.bincount(owner, self.log[state.astype(np.int64) * SYMBOLS + symbols[places]].astype(np.float64), n).astype(np.float64)  # of no places, numpy gives integers
 
 
 def count_next(docs: DataFrame, tree: Tree) -> np.ndarray:
@@ -251,45 +279,107 @@ def held_out() -> Column:
 
 
 class Model:
-    """The tree, the frequent words' counts, and where to find the rest."""
-
-    def __init__(self, tree: Tree, words: DataFrame, n_tokens: int, n_words: int, hashes: np.ndarray, counts: np.ndarray):
-        self.tree, self.words, self.n_tokens, self.n_words, self.hashes, self.counts = tree, words, n_tokens, n_words, hashes, counts
+    """The trees with the span of each, the frequent words' counts, and where to find the rest."""
+
+    def __init__(self, trees: list[tuple[Tree, tuple[int, int]]], words: DataFrame, n_tokens: int, n_words: int, hashes: np.ndarray, counts: np.ndarray):
+        self.trees, self.words, self.n_tokens, self.n_words, self.hashes, self.counts = trees, words, n_tokens, n_words, hashes, counts
+
+
+def slices(contexts: DataFrame):
+    """Lists of SLICE contexts in their order, the newest symbol first."""
+    part: list[str] = []
+    for row in contexts.orderBy(F.reverse("context")).toLocalIterator():
+        part.append(row[0])
+        if len(part) == SLICE:
+            yield part
+            part = []
+    yield part
+
+
+def surveyed(training: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what survey gives, the candidates): all contexts that may have the occurrences they need."""
+    size = training.select(F.coalesce("text", F.lit("")).alias("t")).agg(F.coalesce(F.sum(F.length("t")), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.length(F.regexp_replace("t", "[\\x20\\x09-\\x0D]+", ""))), F.lit(0))).first()
+    least = max(1.0, min(LEAST_COUNT, LEAST_SHARE * (size[1] + size[2])))
+    blocks = (size[0] + (DEPTH + 2) * size[1]) // BLOCK + training.rdd.getNumPartitions()
+    while True:
+        in_block = max(1, int(least / max(1, blocks)))
+        found = durable(survey(training, in_block))
+        used = found.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if used <= blocks or in_block == 1:
+            most = F.col("n") + (F.lit(used) - F.col("blocks")) * (in_block - 1)
+            return found, found.where("kind = 2").where(most >= least)
+        blocks = used
+
+
+def learned(training: DataFrame, characters: list[int], contexts: DataFrame) -> list[tuple[Tree, tuple[int, int]]]:
+    """Trees of up to SLICE retained contexts or of one slice, and their spans, which cover everything."""
+    alphabet = "\x01\x02" + "".join(chr(c) for c in characters if c > 2)
+    trees: list[Tree] = []
+    starts: list[int] = []
+    out: list[tuple[Tree, tuple[int, int]]] = []
+    for part in slices(contexts.where(F.translate("context", alphabet, "") == "").select("context")):
+        first = part[0] if part else ""
+        tree = Tree(characters, list(dict.fromkeys([*(first[-d:] for d in range(1, len(first))), *part])))
+        tree.learn(count_next(training, tree))
+        start = tree.code(first) if trees or out else 0
+        tree = tree.pruned()
+        if trees and sum(len(t.contexts) for t in trees) + len(tree.contexts) > SLICE:
+            out.append((Tree.joined(trees), (starts[0], start)))
+            trees, starts = [], []
+        trees.append(tree)
+        starts.append(start)
+    return [*out, (Tree.joined(trees), (starts[0], WHOLE[1]))]
 
 
 def fit(training: DataFrame) -> Model:
-    found = durable(survey(training))
+    found, contexts = surveyed(training)
     words = found.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     size = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_tokens, n_words = int(size[0]), int(size[1])
     # alphabet: the commonest characters; all of them are at most as many as Unicode has
-    characters = [r[0] for r in found.where("kind = 1").orderBy(F.desc("n"), "key").select("key").limit(SYMBOLS - 3).collect()]
-    contexts = found.where("kind = 2").select("context").toArrow().column("context").to_pylist()
-    tree = Tree(characters, contexts)
-    tree.learn(count_next(training, tree))
-    tree = tree.pruned()
+    characters = sorted(r[0] for r in found.where("kind = 1").orderBy(F.desc("n"), "key").select("key").limit(SYMBOLS - 3).collect())
+    trees = learned(training, characters, contexts)
     frequent = words.where(F.col("c") >= max(1.0, FREQUENT * n_tokens)).where(F.lit(n_tokens) > 0).toArrow()
     hashes, counts = frequent.column("word").to_numpy(), frequent.column("c").to_numpy()
     order = np.argsort(hashes)
-    return Model(tree, words, n_tokens, n_words, hashes[order], counts[order])
+    return Model(trees, words, n_tokens, n_words, hashes[order], counts[order])
+
+
+def span_scores(docs: DataFrame, tree: Tree, span: tuple[int, int]) -> DataFrame:
+    """(text_key, part): what a further tree adds to the score of each text."""
+    sent = docs.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches):
+        own = sent.value
+        for batch in batches:
+            for first, texts in chunks([t or "" for t in batch.column(1).to_pylist()], CHUNK):
+                symbols, places, of = stream(*prepared(texts), len(texts), own.symbol_of)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(own.score(symbols, places, of, len(texts), span))], names=["text_key", "part"])
+
+    return docs.select(text_key().alias("text_key"), "text").mapInArrow(run, "text_key string, part double").groupBy("text_key").agg(F.first("part").alias("part"))
+
+
+def text_key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, n_known, base_score, score."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.tree, model.hashes, np.log10(model.counts + 1.0)))
+    (tree, span), *others = model.trees
+    sent = spark.sparkContext.broadcast((tree, model.hashes, np.log10(model.counts + 1.0)))
     least = max(1.0, FREQUENT * model.n_tokens)  # at 1, every known word is in the table
 
     def run(batches):
         pows = powers()
         tree, hashes, logs = sent.value
         for batch in batches:
-            rid, ids = batch.column(0), batch.column(1)
+            rid, ids, text_keys = batch.column(0), batch.column(1), batch.column(3)
             for first, texts in chunks([t or "" for t in batch.column(2).to_pylist()], CHUNK):
                 n = len(texts)
                 codes, inside, owner = prepared(texts)
                 symbols, places, of = stream(codes, inside, owner, n, tree.symbol_of)
-                total = tree.score(symbols, places, of, n)
+                total = tree.score(symbols, places, of, n, span)
                 starts, ends = segments(inside)
                 words = np.concatenate([word_hashes(codes, starts, ends, inside, pows).view(np.int64), np.full(n, END_WORD, np.int64)])
                 owner_of = np.concatenate([owner[starts], np.arange(n)])
@@ -303,15 +393,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         rid.slice(first, n), ids.slice(first, n),
                         pa.array(np.bincount(owner_of, minlength=n)), pa.array(np.bincount(owner_of[known], minlength=n)),
                         pa.array(np.bincount(owner_of[known], logs[at[known]] if len(hashes) else None, n).astype(np.float64)), pa.array(total),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words[rare])),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words[rare])), text_keys.slice(first, n),
                     ],
-                    names=["rid", "doc_id", "n_tokens", "n_known", "base", "score", "rare"],
+                    names=["rid", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "text_key"],
                 )
 
-    scored = durable(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, "rid bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"))
+    key = text_key() if others else F.lit(None).cast("string")
+    scored = durable(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", key.alias("text_key")).mapInArrow(run, "rid bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, text_key string"))
     rare = scored.select("rid", F.explode("rare").alias("word")).join(model.words, "word").groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("extra"))
+    if others:
+        parts = [durable(span_scores(docs, t, s)) for t, s in others]
+        more = reduce(DataFrame.union, parts).groupBy("text_key").agg(F.sum("part").alias("part"))
+        scored = scored.join(more, "text_key").withColumn("score", F.col("score") + F.col("part"))
     total = float(np.log10(model.n_tokens + model.n_words + 1))
-    return scored.drop("rare").join(rare, "rid", "left").select(
+    return scored.drop("rare", "text_key").join(rare, "rid", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
