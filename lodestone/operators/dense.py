@@ -70,20 +70,24 @@ def kept_rows(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(cells: DataFrame, cut: float, rounds: int = 64) -> DataFrame:
+def components(cells: DataFrame, cut: float) -> DataFrame:
     """8-connected components of cells at or above the cut: label (its least cell), box, area, largest value.
 
-    Labels spread to neighbours by equi-joins on the eight shifted cells, until none changes.
+    Labels spread to neighbours by equi-joins on the eight shifted cells and jump to their label's own label, until none changes.
     """
     spark = cells.sparkSession
     labels = cells.where(F.col("v") >= cut).select("y", "x", "v", (F.col("y") * 100_000 + F.col("x")).cast("bigint").alias("label"))
     labels = kept_rows(labels)
     near = spark.createDataFrame([(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], "dy int, dx int")
-    for _ in range(rounds):
+    while True:  # labels only fall
         spread = labels.join(F.broadcast(near)).select((F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "label").groupBy("y", "x").agg(F.min("label").alias("near"))
-        new = kept_rows(labels.join(spread, ["y", "x"]).select("y", "x", "v", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("changed")))
-        labels = new.drop("changed")
-        if new.where("changed").isEmpty():
+        step = labels.join(spread, ["y", "x"]).select("y", "x", "v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        jump = labels.select((F.col("y") * 100_000 + F.col("x")).cast("bigint").alias("label"), F.col("label").alias("further"))
+        for _ in range(2):
+            step = step.join(jump, "label").select("y", "x", "v", "was", F.least("label", "further").alias("label"))
+        new = kept_rows(step)
+        labels = new.drop("was")
+        if new.where("label < was").isEmpty():
             break
     return labels.groupBy("label").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.count("*").alias("area"), F.max("v").alias("top"))
 
