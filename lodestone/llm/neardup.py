@@ -28,7 +28,6 @@ from math import lcm
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, ship
@@ -97,7 +96,7 @@ def node_of(found: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (the set's name), signature (null for an empty set)."""
+    """doc_id, n_shingles, node (the set's name), signature (null for an empty set), text_key (the text's hash)."""
 
     def run(batches):
         by = factors(COORDINATES, 1000)
@@ -113,9 +112,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     minima[:, k] = np.minimum.reduceat((flat * by[k]) >> np.uint64(32), at).astype(np.uint32).view(np.int32)
                 ends = np.concatenate(([0], np.cumsum((sizes > 0) * COORDINATES)))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(minima.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array([node_of(x) for x in found], pa.int64()), lists], names=["doc_id", "n_shingles", "node", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array([node_of(x) for x in found], pa.int64()), lists, batch.column(2).slice(first, len(texts))], names=["doc_id", "n_shingles", "node", "signature", "text_key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, signature array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, signature array<int>, text_key bigint")
 
 
 def full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -300,8 +299,8 @@ def long_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return left.groupBy("cluster_l", "i_l", "j_l").cogroup(right.groupBy("cluster", "i", "j")).applyInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
+def linked(docs: DataFrame) -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles, text_key, label (the component's least node) and component_id, both null for an empty set."""
     signed = durable(signatures(docs))
     nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
     lists = durable(posted(nodes))
@@ -320,18 +319,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = named.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = named.join(ids, "label").select(F.col("node").alias("_node"), "component_id")
-    joined = signed.join(of_node, (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0), "left")
+    of_node = named.join(ids, "label").select(F.col("node").alias("_node"), "label", "component_id")
+    return signed.join(of_node, (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", "text_key", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
+    joined = linked(docs)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that of the smallest id (of repeated rows of that id, one); wordless texts all stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), (F.col("n_shingles") > 0).alias("_full")).distinct()
-    mine = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]") == F.col("_full")))
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return mine.withColumn("_nth", F.row_number().over(first)).where(~F.col("_full") | (F.col("_nth") == 1)).select(*[f"`{c}`" for c in docs.columns])
+    """docs with one row of each component, that of the smallest id (null ids last; of that id's texts, the one of the smallest hash); wordless texts all stay."""
+    full = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row")
+    kept = linked(docs).where("n_shingles > 0").groupBy("label").agg(least).select(F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_key"))
+    keyed = docs.where(full).withColumn("_text_key", F.xxhash64("text"))
+    mine = keyed.join(kept, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return mine.drop("_text_key").union(docs.where(~full))
 
 
 ship(__name__)

@@ -84,3 +84,10 @@ def test_names_of_sets_follow_the_set(n):
 def test_names_do_not_depend_on_neighbours():
     text = "one two three four five six seven"
     assert neardup.node_of(neardup.sets_of([text])[0]) == neardup.node_of(neardup.sets_of(["y" * 20000, text, "z " * 9])[1])
+
+
+def test_one_of_each_component_whatever_the_ids(spark):
+    a, b, c = "one two three four five six", "red green blue black white grey", "north south east west up down"
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, "x y z x y w"), (3, c), (None, None), (None, " ")]
+    out = sorted(((r.doc_id or 0), r.text or "") for r in neardup.one_of_each(table(spark, rows)).collect())
+    assert out == sorted([(0, a), (0, b), (3, c), (7, "x y z x y w"), (0, ""), (0, " ")])
