@@ -1,7 +1,7 @@
 """A probabilistic suffix tree over characters as language model, and a word-frequency baseline beside it.
 
 A text is its words, A-Z in lower case, each followed by one boundary symbol, and an end symbol. The alphabet is the
-commonest characters of the training texts; others share an escape symbol. The tree's contexts have variable length:
+commonest characters of the training texts; others share an escape symbol, which no context holds, and beside it have a learned distribution of their own. The tree's contexts have variable length:
 
 * a context of up to `DEPTH` symbols needs `LEAST_COUNT` occurrences in all training texts, or LEAST_SHARE of a small corpus;
 * candidates are found by blocks: what has n occurrences in B blocks has n / B in one of them, so lesser counts of a block are
@@ -278,10 +278,18 @@ def held_out() -> Column:
     return F.coalesce(id_remainder(HELD_OUT[0]) == HELD_OUT[1], F.lit(False))
 
 
+def escape_logs(n: dict[int, int]) -> np.ndarray:
+    """log10 of each character's probability among escaped ones, smoothed towards the uniform one, less that of the uniform one, which the tree has taken."""
+    counts = np.zeros(OTHERS)
+    counts[list(n)] = list(n.values())
+    return np.log10((counts + SMOOTHING / OTHERS) / (counts.sum() + SMOOTHING)) + np.log10(OTHERS)
+
+
 class Model:
-    """The trees with the span of each, the frequent words' counts, and where to find the rest."""
+    """The trees with the span of each, the frequent words' counts, and where to find the rest; the counts of escaped characters."""
 
-    def __init__(self, trees: list[tuple[Tree, tuple[int, int]]], words: DataFrame, n_tokens: int, n_words: int, hashes: np.ndarray, counts: np.ndarray):
+    def __init__(self, trees: list[tuple[Tree, tuple[int, int]]], words: DataFrame, n_tokens: int, n_words: int, hashes: np.ndarray, counts: np.ndarray, escaped: dict[int, int]):
+        self.escaped = escaped
         self.trees, self.words, self.n_tokens, self.n_words, self.hashes, self.counts = trees, words, n_tokens, n_words, hashes, counts
 
 
@@ -337,12 +345,13 @@ def fit(training: DataFrame) -> Model:
     size = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_tokens, n_words = int(size[0]), int(size[1])
     # alphabet: the commonest characters; all of them are at most as many as Unicode has
-    characters = sorted(r[0] for r in found.where("kind = 1").orderBy(F.desc("n"), "key").select("key").limit(SYMBOLS - 3).collect())
+    seen = [(r[0], r[1]) for r in found.where("kind = 1").orderBy(F.desc("n"), "key").select("key", "n").collect()]
+    characters, escaped = sorted(c for c, _ in seen[: SYMBOLS - 3]), dict(seen[SYMBOLS - 3 :])
     trees = learned(training, characters, contexts)
     frequent = words.where(F.col("c") >= max(1.0, FREQUENT * n_tokens)).where(F.lit(n_tokens) > 0).toArrow()
     hashes, counts = frequent.column("word").to_numpy(), frequent.column("c").to_numpy()
     order = np.argsort(hashes)
-    return Model(trees, words, n_tokens, n_words, hashes[order], counts[order])
+    return Model(trees, words, n_tokens, n_words, hashes[order], counts[order], escaped)
 
 
 def span_scores(docs: DataFrame, tree: Tree, span: tuple[int, int]) -> DataFrame:
@@ -367,12 +376,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, n_known, base_score, score."""
     spark = docs.sparkSession
     (tree, span), *others = model.trees
-    sent = spark.sparkContext.broadcast((tree, model.hashes, np.log10(model.counts + 1.0)))
+    sent = spark.sparkContext.broadcast((tree, model.hashes, np.log10(model.counts + 1.0), model.escaped))
     least = max(1.0, FREQUENT * model.n_tokens)  # at 1, every known word is in the table
 
     def run(batches):
         pows = powers()
-        tree, hashes, logs = sent.value
+        tree, hashes, logs, escaped = sent.value
+        further = escape_logs(escaped)
         for batch in batches:
             rid, ids, text_keys = batch.column(0), batch.column(1), batch.column(3)
             for first, texts in chunks([t or "" for t in batch.column(2).to_pylist()], CHUNK):
@@ -380,6 +390,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 codes, inside, owner = prepared(texts)
                 symbols, places, of = stream(codes, inside, owner, n, tree.symbol_of)
                 total = tree.score(symbols, places, of, n, span)
+                other = np.flatnonzero(inside & (tree.symbol_of[codes] == ESCAPE))
+                total = total + np.bincount(owner[other], further[codes[other]], n)
                 starts, ends = segments(inside)
                 words = np.concatenate([word_hashes(codes, starts, ends, inside, pows).view(np.int64), np.full(n, END_WORD, np.int64)])
                 owner_of = np.concatenate([owner[starts], np.arange(n)])

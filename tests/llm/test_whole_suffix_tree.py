@@ -31,3 +31,14 @@ def test_contexts_and_scores_do_not_depend_on_blocks_and_slices(spark, monkeypat
     assert len(cut.trees) > 1
     got = {r.doc_id: r.score for r in suffix_tree.score(docs, cut).collect()}
     assert got == {k: pytest.approx(v, rel=1e-5) for k, v in want.items()}
+
+
+def test_escaped_characters_have_learned_frequencies(spark):
+    common = "".join(chr(c) for c in range(0x3B1, 0x3B1 + 61))  # fills the alphabet
+    rows = [(k, f"{common} {common} жи ж") for k in range(50)]
+    model = suffix_tree.fit(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert model.escaped == {0x436: 100, 0x438: 50}
+    asked = spark.createDataFrame([(1, "ж"), (2, "и"), (3, "☃")], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in suffix_tree.score(asked, model).collect()}
+    assert got[1] > got[2] > got[3]
+    assert (10 ** suffix_tree.escape_logs(model.escaped)).sum() / suffix_tree.OTHERS == pytest.approx(1)
