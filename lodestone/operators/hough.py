@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.folds import keep_greedily
@@ -29,12 +32,33 @@ def translation_votes(c: DataFrame, cx: float, cy: float) -> DataFrame:
     return c.select("image_id", "vid", (cx + F.col("scene_x") - F.col("crop_x")).alias("dx"), (cy + F.col("scene_y") - F.col("crop_y")).alias("dy"), F.lit(0.0).alias("log_scale"), F.lit(0.0).alias("theta_deg"))
 
 
-def pairwise_votes(c: DataFrame, cx: float, cy: float, most: int = 64) -> DataFrame:
-    """A similarity from each pair i < j of an image's first `most` correspondences (the reference method's own bound on pairs)."""
-    own = c.where(F.col("vid") < most)
-    a = own.select("image_id", *[F.col(x).alias(f"{x}_a") for x in ("vid", "crop_x", "crop_y", "scene_x", "scene_y")])
-    b = own.select("image_id", *[F.col(x).alias(f"{x}_b") for x in ("vid", "crop_x", "crop_y", "scene_x", "scene_y")])
-    pairs = a.join(b, "image_id").where("vid_a < vid_b")
+def sampled_pairs(c: DataFrame, cap: int, seed: int) -> DataFrame:
+    """(image_id, vid_a, vid_b): `cap` different pairs of each image's correspondences, by a seeded draw."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        vid, image = np.sort(pdf.vid.to_numpy()), pdf.image_id.iloc[0]
+        rng, n, held = np.random.default_rng([seed, int(image)]), len(vid), np.zeros(0, np.int64)
+        while len(held) < cap:
+            i, j = rng.integers(0, n, (2, cap))
+            drawn = (np.minimum(i, j) * n + np.maximum(i, j))[i != j]
+            every = np.concatenate([held, drawn])
+            held = every[np.sort(np.unique(every, return_index=True)[1])][:cap]
+        return pd.DataFrame({"image_id": image, "vid_a": vid[held // n], "vid_b": vid[held % n]})
+
+    return c.select("image_id", "vid").groupBy("image_id").applyInPandas(run, "image_id bigint, vid_a bigint, vid_b bigint")
+
+
+def pairwise_votes(c: DataFrame, cx: float, cy: float, cap: int = 20_000, seed: int = 7) -> DataFrame:
+    """A similarity from each pair i < j of an image's correspondences; of an image with more than `cap` pairs (the reference method's own bound), from a seeded sample of them."""
+    n = F.count("*")
+    many = c.groupBy("image_id").agg((n * (n - 1) / 2 > cap).alias("many")).where("many").select("image_id")
+    own = c.join(many, "image_id", "left_anti")
+    large = c.join(many, "image_id", "left_semi")
+    a = c.select("image_id", *[F.col(x).alias(f"{x}_a") for x in ("vid", "crop_x", "crop_y", "scene_x", "scene_y")])
+    b = c.select("image_id", *[F.col(x).alias(f"{x}_b") for x in ("vid", "crop_x", "crop_y", "scene_x", "scene_y")])
+    all_of = own.select("image_id", F.col("vid").alias("vid_a")).join(own.select("image_id", F.col("vid").alias("vid_b")), "image_id").where("vid_a < vid_b")
+    chosen = all_of.union(sampled_pairs(large, cap, seed).select("image_id", "vid_a", "vid_b"))
+    pairs = chosen.join(a, ["image_id", "vid_a"]).join(b, ["image_id", "vid_b"])
     ux, uy = F.col("crop_x_b") - F.col("crop_x_a"), F.col("crop_y_b") - F.col("crop_y_a")
     vx, vy = F.col("scene_x_b") - F.col("scene_x_a"), F.col("scene_y_b") - F.col("scene_y_a")
     size = ux * ux + uy * uy
@@ -83,15 +107,28 @@ def model_fault(m: Column, low: float = 0.2, high: float = 5.0) -> Column:
     return F.when(det < 0, "mirrored").when((scale < low) | (scale > high), "scale")
 
 
-def ransac(c: DataFrame, pixels: float = 3.0, tries: int = 200, least: int = 5, rounds: int = 64, seed: int = 7) -> DataFrame:
-    """Similarities by seeded two-point samples, one after the other: fit, take its inliers out, repeat. A row for each instance of an image."""
+def of_peaks(c: DataFrame, hist: DataFrame, found: DataFrame) -> DataFrame:
+    """The correspondences that voted for each peak, with its number in the image, the heaviest first."""
+    bins = ["bx", "by", "bs", "bt"]
+    number = F.row_number().over(W.partitionBy("image_id").orderBy(F.col("weight").desc(), *bins)) - 1
+    members = found.withColumn("peak", number).drop("weight").join(hist.drop("weight"), ["image_id", *bins])
+    return c.join(members.select("image_id", "peak", F.explode("members").alias("vid")), ["image_id", "vid"])
+
+
+def ransac(c: DataFrame, pixels: float = 3.0, tries: int = 200, least: int = 5, seed: int = 7) -> DataFrame:
+    """Similarities by seeded two-point samples, one after the other: fit, take its inliers out, repeat. A row for each instance of an image.
+
+    If c has a column `peak`, one fit to the correspondences of each peak instead, whose number is the instance's.
+    """
+    by_peak = ["peak"] if "peak" in c.columns else []
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vid")
         z, w = (pdf.crop_x + 1j * pdf.crop_y).to_numpy(), (pdf.scene_x + 1j * pdf.scene_y).to_numpy()
         image = pdf.image_id.iloc[0]
-        rng, left, out = np.random.default_rng([seed, int(image)]), np.arange(len(z)), []
-        for k in range(rounds):
+        peak = [int(pdf.peak.iloc[0])] if by_peak else []
+        rng, left, out = np.random.default_rng([seed, int(image), *peak]), np.arange(len(z)), []
+        for k in peak or count():  # each round takes correspondences out
             if len(left) < max(least, 2):
                 break
             i, j = rng.integers(0, len(left), (2, tries))
@@ -110,4 +147,4 @@ def ransac(c: DataFrame, pixels: float = 3.0, tries: int = 200, least: int = 5,
             left = left[~near[best]]
         return pd.DataFrame(out, columns=["image_id", "instance", "inliers", "a", "b", "tx", "ty"])
 
-    return c.select("image_id", "vid", "crop_x", "crop_y", "scene_x", "scene_y").groupBy("image_id").applyInPandas(run, "image_id bigint, instance int, inliers int, a double, b double, tx double, ty double")
+    return c.select("image_id", *by_peak, "vid", "crop_x", "crop_y", "scene_x", "scene_y").groupBy("image_id", *by_peak).applyInPandas(run, "image_id bigint, instance int, inliers int, a double, b double, tx double, ty double")

@@ -57,11 +57,32 @@ class SparseGeometry:
     crop_h: float = 40.0
     width: int = 100_000
     height: int = 100_000
+    decomposition: str = "hough"
+    voting: str = "single-4dof"
+    min_votes: float = 2.0
+    pairwise_cap: int = 20_000
+
+    def __post_init__(self):
+        if self.decomposition not in ("hough", "sequential-ransac"):
+            raise InvalidConfig([("decomposition", "must be hough or sequential-ransac")])
+        if self.voting not in ("single-4dof", "translation-2dof", "pairwise-4dof"):
+            raise InvalidConfig([("voting", "must be single-4dof, translation-2dof or pairwise-4dof")])
 
 
 @register("sparse-geo", "keypoint correspondences verified by sampled similarities", "1", SparseGeometry)
 def sparse_geo(correspondences: DataFrame, config: SparseGeometry) -> DataFrame:
-    models = hough.ransac(correspondences, config.pixels, least=config.inliers)
+    """Votes, soft bins, peaks and a fit to each peak's correspondences; or fits one after the other over the whole image."""
+    c = correspondences
+    if config.decomposition == "hough":
+        cx, cy = config.crop_w / 2, config.crop_h / 2
+        if config.voting == "pairwise-4dof":
+            votes = hough.pairwise_votes(c, cx, cy, config.pairwise_cap).withColumn("pair", F.array("vid_a", "vid_b"))
+            hist = hough.histogram(votes, max(config.crop_w, config.crop_h), "pair").withColumn("members", F.array_distinct(F.flatten("members")))
+        else:
+            votes = hough.single_votes(c, cx, cy) if config.voting == "single-4dof" else hough.translation_votes(c, cx, cy)
+            hist = hough.histogram(votes, max(config.crop_w, config.crop_h))
+        c = hough.of_peaks(c, hist, hough.peaks(hist, config.min_votes))
+    models = hough.ransac(c, config.pixels, least=config.inliers)
     m = F.array("a", -F.col("b"), "tx", "b", "a", "ty")
     boxes = models.where(hough.model_fault(m).isNull()).withColumn("box", affine_hull(m, F.lit(config.crop_w), F.lit(config.crop_h), F.lit(config.width), F.lit(config.height))).where("box IS NOT NULL")
     return numbered(folds.nms(boxes.select("image_id", F.col("instance").cast("bigint").alias("pid"), "box.*", F.col("inliers").cast("double").alias("score")), ["image_id"], config.nms_iou))
