@@ -1,20 +1,20 @@
-"""A probabilistic suffix tree over characters as language model, and a word-frequency baseline beside it.
-
-A text is its words, A-Z in lower case, each followed by one boundary symbol, and an end symbol. The alphabet is the
-commonest characters of the training texts; others share an escape symbol, which no context holds, and beside it have a learned distribution of their own. The tree's contexts have variable length:
-
-* a context of up to `DEPTH` symbols needs `LEAST_COUNT` occurrences in all training texts, or LEAST_SHARE of a small corpus;
-* candidates are found by blocks: what has n occurrences in B blocks has n / B in one of them, so lesser counts of a block are
-  left out, and what may still have the occurrences, with all that was left out, is a candidate, however texts are dealt;
-* their next symbols are then counted exactly over all training texts;
-* a context is retained if it has the occurrences and its next-symbol distribution diverges from that of the
-  next shorter one, by `DIVERGENCE` nats per symbol and `EVIDENCE` nats in all;
-* distributions are smoothed towards the next shorter context's, down to the root's;
+"""A probabilistic suffix tree over bytes as language model, and a word-frequency baseline beside it.
+
+A text is its words, A-Z in lower case, each followed by one boundary symbol, and an end symbol. Symbols are the UTF-8 bytes, so
+that no character of any script stands outside the model. Contexts have variable length:
+
+* every string of `DEPTH` symbols and the next one is counted exactly over all training texts: in each task by sorting, then
+  in one shuffle, which alone tells how often each shorter context and its next symbols occur;
+* a context is retained by evidence alone: if it has `LEAST_COUNT` occurrences and its next-symbol distribution diverges from that
+  of its longest retained suffix by `DIVERGENCE` nats a symbol and by `EVIDENCE` nats over all its occurrences. None of
+  these depends on the corpus' size, on its partitions or on the order of its rows, and the tree grows with the corpus;
+* distributions are smoothed towards that of the longest retained suffix, down to the root's;
 * a symbol is scored in the longest retained suffix of what precedes it.
 
-The tree grows with the corpus. Its contexts stay in a table, sorted from the newest symbol back, and are learned and sent in
-slices of `SLICE` of them with the shorter ones they rest on: a broadcast is bounded, and a pass over the texts is made for each.
-The driver holds what is retained, at most DEPTH / LEAST_COUNT of the symbols.
+Counts and the tree stay in tables. Contexts are learned in partitions by their three newest symbols, as a context, its
+extensions and all but its shortest suffixes agree in these; contexts of up to two symbols are learned on the driver (at most 2^24
+counts). For scoring the tree is broadcast in slices of up to `SLICE` counts, ranges of the two newest symbols; each further
+slice is a further pass over the texts, in which only the symbols that follow its contexts are scored.
 Word counts have no bound: words above `FREQUENT` of all tokens (at most 1 / FREQUENT) are looked up in a broadcast table,
 the rest by a join.
 
@@ -27,343 +27,340 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, id_remainder, ship
-from lodestone.llm.textvec import chunks, powers, segments, word_hashes
+from lodestone.llm.common import durable, id_remainder, ship, shuffle_partitions, stored
+from lodestone.llm.textvec import blank_table, chunks, lower_table, powers, segments, word_hashes
 
 HELD_OUT = (7, 2)
-DEPTH = 8
-SYMBOLS = 64
-ESCAPE, SPACE, END = 0, 1, 2
-OTHERS = 0x110000
-LEAST_SHARE = 1e-5
-LEAST_COUNT = 1000
-SLICE = 100_000
-DIVERGENCE = 0.002
-EVIDENCE = 10.0
+DEPTH = 6
+SHALLOW = 2  # contexts learned on the driver
+SPACE, END = 32, 10  # both are bytes that no word has
+LEAST_COUNT = 50
+DIVERGENCE = 0.01
+EVIDENCE = 100.0
 SMOOTHING = 24.0
 FREQUENT = 5e-7
-BLOCK = 6_000_000
-WHOLE = (0, 1 << 6 * DEPTH)
-CHUNK = 1 << 20
+SLICE = 8_000_000
+HELD = 3_000_000
+WINDOW = 1 << 22
+CHUNK = 1 << 22
 END_WORD = 0x5E2D58D8B3BCDF1A  # the end token's place among word hashes
 
 
 def prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code points, A-Z lowered, each text followed by a line end; whether in a word; number of the text)."""
-    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where((codes >= 65) & (codes <= 90), codes + np.uint32(32), codes)
-    inside = ~(((codes >= 9) & (codes <= 13)) | (codes == 32))
-    return codes, inside, np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    """(bytes, A-Z lowered, each text followed by a line end; whether in a word; where the texts' line ends are)."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = lower_table()[np.frombuffer(b"\n".join([*raw, b""]), np.uint8)]
+    return data, blank_table()[data], np.cumsum([len(x) + 1 for x in raw]) - 1
 
 
-def stream(codes: np.ndarray, inside: np.ndarray, owner: np.ndarray, n: int, symbol_of: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols with `depth` ends before and after each text; the places to score; their texts)."""
+def stream(data: np.ndarray, inside: np.ndarray, line_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols with DEPTH ends before the first text; where each text's own end is). A text's symbols follow the end of the one before."""
     kept = inside.copy()
-    kept[1:] |= inside[:-1] & ~inside[1:]
-    symbols = np.where(inside, symbol_of[codes], symbol_of.dtype.type(SPACE))[kept]
-    of = owner[kept]
-    place = np.arange(len(of)) + depth * (of + 1)
-    out = np.full(len(of) + depth * (n + 1), END, symbols.dtype)
-    out[place] = symbols
-    size = np.bincount(of, minlength=n)
-    ends = np.cumsum(size) + depth * np.arange(1, n + 1)
-    return out, np.concatenate([place, ends]), np.concatenate([of, np.arange(n)])
+    kept[1:] |= inside[:-1] & ~inside[1:]  # one boundary after each word
+    kept[line_ends] |= ~inside[line_ends]
+    symbols = np.where(inside, data, np.uint8(SPACE))
+    # a text's last word touches its line end, which is then both boundary and end
+    double = np.zeros(len(data), bool)
+    double[line_ends] = (line_ends > 0) & inside[np.maximum(line_ends - 1, 0)]
+    double[line_ends[1:][np.diff(line_ends) == 1]] = False
+    symbols[line_ends] = END
+    times = kept.astype(np.int64) + double
+    out = np.repeat(symbols, times)
+    at = np.cumsum(times) - 1
+    extra = at[line_ends[double[line_ends]]] - 1
+    out[extra] = SPACE
+    return np.concatenate([np.full(DEPTH, END, np.uint8), out]), at[line_ends] + DEPTH
+
+
+def strings(symbols: np.ndarray, first: int, last: int) -> np.ndarray:
+    """For the places from first to last: their symbol, then those before it, newest first, a byte each. What lies before a text counts as ends."""
+    code = symbols[first:last].astype(np.uint64)
+    known = np.ones(last - first, bool)
+    for i in range(1, DEPTH + 1):
+        x = symbols[first - i : last - i]
+        code = code << np.uint64(8) | np.where(known, x, np.uint8(END))
+        known &= x != END
+    return code
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([p[0] for p in parts])
-    keys, where = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-
-def block_contexts(pieces: list[np.ndarray], least: int) -> tuple[list[str], list[int]]:
-    """The contexts, oldest symbol first, that occur `least` times in a block of raw code-point streams, and how often. Its own 254 commonest characters stand for themselves."""
-    seen = np.bincount(np.concatenate(pieces))
-    common = np.argsort(-seen, kind="stable")[:254]
-    common = common[seen[common] > 0]
-    local = np.zeros(len(seen), np.uint8)
-    local[common] = np.arange(1, len(common) + 1)
-    points, out, times, codes = np.concatenate(([0], common)).astype(np.uint32), [], [], []
-    for x in pieces:
-        x = local[x].astype(np.uint64)
-        code = np.zeros(len(x) - DEPTH + 1, np.uint64)
-        for i in range(DEPTH):  # the newest symbol is the most significant
-            code |= x[i : len(x) - DEPTH + 1 + i] << np.uint64(8 * i)
-        codes.append(code)
-    keys, n = np.unique(np.concatenate(codes), return_counts=True)
-    for d in range(DEPTH, 0, -1):
-        held = n >= least
-        symbols = np.stack([(keys[held] >> np.uint64(8 * i)) & np.uint64(255) for i in range(d)], 1)
-        known = symbols.all(1)
-        out += np.ascontiguousarray(points[symbols[known]]).view(f"<U{d}").reshape(-1).tolist()
-        times += n[held][known].tolist()
-        keys = keys >> np.uint64(8)
-        first = np.concatenate(([True], keys[1:] != keys[:-1]))
-        n = np.add.reduceat(n, np.flatnonzero(first)) if len(n) else n
-        keys = keys[first]
-    return out, times
-
-
-def survey(docs: DataFrame, least: int) -> DataFrame:
-    """(kind, key, context, n, blocks) over all training texts: 0 words by hash, 1 characters, 2 contexts (chr(1) a boundary, chr(2) an end) as far as a block has `least`, 3 blocks."""
+    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(keys)
+    return totals(keys[order], n[order])
 
-    def run(batches):
-        pows, raw = powers(), np.arange(OTHERS, dtype=np.uint32)
-        words, characters, pieces, held, texts_seen = [], np.zeros(OTHERS, np.int64), [], 0, 0
-        raw[0], raw[SPACE], raw[END] = 0xFFFD, 0xFFFD, 0xFFFD  # these three stand for what the stream puts in
-
-        def flush():
-            nonlocal pieces, held
-            found, n = block_contexts(pieces, least) if pieces else ([], [])
-            blocks, pieces, held = int(bool(pieces)), [], 0
-            for at in range(0, len(found) + 1, 100_000):
-                part = found[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), 2, np.int32)), pa.array(np.zeros(len(part), np.int64)), pa.array(part, pa.string()), pa.array(n[at : at + 100_000], pa.int64())], names=["kind", "key", "context", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([3] * blocks, pa.int32()), pa.array([0] * blocks, pa.int64()), pa.nulls(blocks, pa.string()), pa.array([1] * blocks, pa.int64())], names=["kind", "key", "context", "n"])
 
+def totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with their summed counts."""
+    if not len(keys):
+        return keys, n
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n, first)
+
+
+class Counter:
+    """Sums of counts by key. What exceeds HELD keys is given out by `rows`."""
+
+    def __init__(self, kind: int):
+        self.kind, self.parts, self.held = kind, [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        found, n = np.unique(keys, return_counts=True)
+        self.parts.append((found, n))
+        self.held += len(found)
+
+    def rows(self, final: bool):
+        if self.parts and (final or self.held > HELD):
+            keys, n = summed(self.parts)
+            self.parts, self.held = [(keys, n)], len(keys)
+            if final or self.held > HELD // 2:
+                for at in range(0, len(keys), 100_000):
+                    part = keys[at : at + 100_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), self.kind, np.int32)), pa.array(part), pa.array(n[at : at + 100_000])], names=["kind", "key", "n"])
+                self.parts, self.held = [], 0
+
+
+def survey(docs: DataFrame) -> DataFrame:
+    """(kind, key, n) over all training texts: 0 words by hash, 1 strings of a symbol and the DEPTH before it."""
+
+    def run(batches):
+        pows, words, found = powers(), Counter(0), Counter(1)
         for batch in batches:
             for _, texts in chunks([t or "" for t in batch.column(0).to_pylist()], CHUNK):
-                codes, inside, owner = prepared(texts)
+                data, inside, line_ends = prepared(texts)
                 starts, ends = segments(inside)
-                words.append(np.unique(word_hashes(codes, starts, ends, inside, pows), return_counts=True))
-                if len(words) >= 64:
-                    words = [summed(words)]
-                characters += np.bincount(codes[inside], minlength=OTHERS)
-                texts_seen += len(texts)
-                pieces.append(stream(codes, inside, owner, len(texts), raw)[0])
-                held += len(pieces[-1])
-                if held >= BLOCK:
-                    yield from flush()
-        yield from flush()
-        if words:
-            keys, n = summed(words)
-            for at in range(0, len(keys), 100_000):
-                part = slice(at, at + 100_000)
-                size = len(keys[part])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(size, np.int32)), pa.array(keys[part].view(np.int64)), pa.nulls(size, pa.string()), pa.array(n[part])], names=["kind", "key", "context", "n"])
-            used = np.flatnonzero(characters)
-            tail = [(0, END_WORD, texts_seen)] + [(1, int(c), int(characters[c])) for c in used]
-            kind, key, n = zip(*tail, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.nulls(len(tail), pa.string()), pa.array(n, pa.int64())], names=["kind", "key", "context", "n"])
-
-    return docs.select("text").mapInArrow(run, "kind int, key bigint, context string, n bigint").groupBy("kind", "key", "context").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"))
+                words.add(np.concatenate([word_hashes(data, starts, ends, inside, pows), np.full(len(texts), END_WORD, np.uint64)]))
+                symbols, _ = stream(data, inside, line_ends)
+                for first in range(DEPTH, len(symbols), WINDOW):
+                    found.add(strings(symbols, first, min(first + WINDOW, len(symbols))))
+                    yield from found.rows(False)
+                yield from words.rows(False)
+        yield from words.rows(True)
+        yield from found.rows(True)
+
+    return docs.select("text").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def shorter(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, next symbol) keys with the oldest symbol of the contexts left out."""
+    cut = keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(255)
+    order = np.argsort(cut)
+    return totals(cut[order], n[order])
+
+
+def learn(keys: np.ndarray, n: np.ndarray, above: np.ndarray, p_above: np.ndarray):
+    """One depth: the counts of (context, next symbol) keys against the probabilities of the depth above.
+
+    Returns each key's context total, whether its context is retained, and its probability.
+    """
+    context = keys >> np.uint64(8)
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(keys)))
+    total = np.add.reduceat(n, first).astype(np.float64) if len(keys) else np.zeros(0)
+    before = p_above[np.searchsorted(above, keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(255))]
+    each = np.repeat(total, size)
+    own = (n + SMOOTHING * before) / (each + SMOOTHING)
+    left = SMOOTHING / (total + SMOOTHING)  # what an unseen next symbol's probability is multiplied by
+    if len(keys):
+        unseen = np.maximum(1 - np.add.reduceat(before, first), 0)
+        gain = np.add.reduceat(own * np.log(own / before), first) + left * unseen * np.log(left)
+        kept = np.repeat((total >= LEAST_COUNT) & (gain >= DIVERGENCE) & (gain * total >= EVIDENCE), size)
+    else:
+        kept = np.zeros(0, bool)
+    return each.astype(np.int64), kept, np.where(kept, own, before)
+
+
+def root(n: np.ndarray) -> np.ndarray:
+    return (n + 0.5) / (n.sum() + 128.0)
+
+
+def shallow_levels(keys: np.ndarray, n: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """From the counts of (SHALLOW newest symbols, next symbol): the model's rows (depth, keys, n, totals), and the last depth's keys and probabilities."""
+    levels = [(keys, n)]
+    for _ in range(SHALLOW):
+        levels.insert(0, shorter(*levels[0]))
+    counts = np.zeros(256)
+    counts[levels[0][0].astype(np.int64)] = levels[0][1]
+    above, p = np.arange(256, dtype=np.uint64), root(counts)
+    rows = [(0, levels[0][0], levels[0][1], np.full(len(levels[0][0]), counts.sum(), np.int64))]
+    for depth in range(1, SHALLOW + 1):
+        keys, n = levels[depth]
+        total, kept, p = learn(keys, n, above, p)
+        above = keys
+        rows.append((depth, keys[kept], n[kept], total[kept]))
+    return rows, above, p
+
+
+def deep_levels(codes: np.ndarray, n: np.ndarray, above: np.ndarray, p: np.ndarray):
+    """From all strings of some newest symbols: the model's rows (depth, keys, n, totals) below SHALLOW."""
+    keys = (codes & np.uint64((1 << 8 * DEPTH) - 1)) << np.uint64(8) | codes >> np.uint64(8 * DEPTH)
+    order = np.argsort(keys)
+    levels = [totals(keys[order], n[order])]
+    for _ in range(DEPTH - SHALLOW - 1):
+        levels.insert(0, shorter(*levels[0]))
+    for depth, (keys, n) in enumerate(levels, SHALLOW + 1):
+        total, kept, p = learn(keys, n, above, p)
+        above = keys
+        yield depth, keys[kept], n[kept], total[kept]
+
+
+def grown(found: DataFrame) -> tuple[DataFrame, tuple]:
+    """(the table of the contexts deeper than SHALLOW, the arrays of the others): depth, key (context newest first, next symbol), n, total."""
+    spark = found.sparkSession
+    whole = found.where("kind = 1").select(F.col("key").alias("code"), "n")
+    newest = F.shiftright("code", 8 * (DEPTH - SHALLOW)).bitwiseAND((1 << 8 * SHALLOW) - 1)  # code: symbol, newest, ..., oldest
+    symbol = F.shiftright("code", 8 * DEPTH)
+    low = whole.groupBy((F.shiftleft(newest, 8) + symbol).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 2^24 rows
+    keys, n = low.column("key").to_numpy().astype(np.uint64), low.column("n").to_numpy()
+    order = np.argsort(keys)
+    rows, above, p = shallow_levels(keys[order], n[order])
+    sent = spark.sparkContext.broadcast((above, p))
 
+    def run(batches):
+        above, p = sent.value
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            codes, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            for depth, keys, n, total in deep_levels(codes.view(np.uint64), n, above, p):
+                for at in range(0, len(keys), 100_000):
+                    part = slice(at, at + 100_000)
+                    size = len(keys[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, depth, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(n[part]), pa.array(total[part])], names=["depth", "key", "n", "total"])
+
+    group = F.shiftright("code", 8 * (DEPTH - 3)).bitwiseAND((1 << 24) - 1)
+    deep = whole.repartition(shuffle_partitions(spark), group).mapInArrow(run, "depth int, key bigint, n bigint, total bigint")
+    return durable(deep), rows
 
-class Tree:
-    """contexts as a trie from the newest symbol back: child[state * SYMBOLS + symbol], the last state being the dead end."""
-
-    def __init__(self, characters: list[int], contexts: list[str]):
-        self.characters = characters[: SYMBOLS - 3]
-        self.symbol_of = np.zeros(OTHERS, np.uint8)
-        for i, c in enumerate(self.characters):
-            self.symbol_of[c] = 3 + i
-        known = {"\x01": SPACE, "\x02": END} | {chr(c): int(self.symbol_of[c]) for c in self.characters if c > 2}
-        tuples = {tuple(known[c] for c in reversed(x)): x for x in contexts if all(c in known for c in x)}
-        state, self.contexts = {(): 0}, []
-        for x in sorted(tuples, key=lambda x: (len(x), x)):
-            if x[:-1] in state:
-                state[x] = len(state)
-                self.contexts.append(tuples[x])
-        n = len(state)
-        self.child = np.full((n + 1) * SYMBOLS, n, np.int32)
-        self.parent, self.depth = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for x, s in state.items():
-            if x:
-                self.parent[s], self.depth[s] = state[x[:-1]], len(x)
-                self.child[state[x[:-1]] * SYMBOLS + x[-1]] = s
-        self.log: np.ndarray | None = None
-
-    def __getstate__(self) -> tuple:
-        """Only what the rest is built from is sent."""
-        return self.characters, self.contexts, self.log
-
-    def __setstate__(self, sent: tuple) -> None:
-        self.__init__(*sent[:2])
-        self.log = sent[2]
-
-    def pruned(self) -> Tree:
-        """Without the contexts that are neither retained nor on the way to one that is."""
-        held = self.retained.copy()
-        for d in range(DEPTH, 0, -1):
-            level = np.flatnonzero((self.depth == d) & held)
-            held[self.parent[level]] = True
-        out = Tree(self.characters, [x for x, keep in zip(self.contexts, held[1:].tolist(), strict=True) if keep])
-        out.log = self.log.reshape(-1, SYMBOLS)[held].reshape(-1)
-        return out
 
-    def code(self, context: str) -> int:
-        """A context's place in the order of the slices: newest symbol first."""
-        known = {"\x01": SPACE, "\x02": END}
-        return sum((known.get(c) or int(self.symbol_of[ord(c)])) << 6 * (DEPTH - 1 - i) for i, c in enumerate(reversed(context)))
-
-    @staticmethod
-    def joined(trees: list[Tree]) -> Tree:
-        """One tree of several learned ones."""
-        row = {x: t.log.reshape(-1, SYMBOLS)[1 + i] for t in trees for i, x in enumerate(t.contexts)}
-        out = Tree(trees[0].characters, list(row))
-        out.log = np.concatenate([trees[0].log[:SYMBOLS], *[row[x] for x in out.contexts]])
+class Tree:
+    """For each depth the sorted (context, next symbol) keys with counts, and the contexts with totals."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]):
+        self.levels = []
+        self.root = np.full(256, 1 / 256)
+        for depth in range(DEPTH + 1):
+            own = [r for r in rows if r[0] == depth]
+            keys, n, total = (np.concatenate([r[i] for r in own]) if own else np.zeros(0, np.int64) for i in (1, 2, 3))
+            keys = keys.astype(np.uint64)
+            if depth == 0:
+                counts = np.zeros(256)
+                counts[keys.astype(np.int64)] = n
+                self.root = root(counts)
+                continue
+            order = np.argsort(keys)
+            keys, n, total = keys[order], n[order], total[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] >> np.uint64(8) != keys[:-1] >> np.uint64(8)))) if len(keys) else np.zeros(0, np.int64)
+            self.levels.append((keys, n.astype(np.float32), keys[first] >> np.uint64(8), total[first].astype(np.float32)))
+
+    def probabilities(self, codes: np.ndarray) -> np.ndarray:
+        """Of the first symbol of each string after those behind it."""
+        symbol = codes >> np.uint64(8 * DEPTH)
+        p = self.root[symbol.astype(np.int64)]
+        context = codes & np.uint64((1 << 8 * DEPTH) - 1)
+        for depth, (keys, n, contexts, total) in enumerate(self.levels, 1):
+            if not len(contexts):
+                continue
+            own = context >> np.uint64(8 * (DEPTH - depth))
+            at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
+            held = np.flatnonzero(contexts[at] == own)
+            if not len(held):
+                continue
+            key = own[held] << np.uint64(8) | symbol[held]
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            times = np.where(keys[place] == key, n[place], np.float32(0))
+            p[held] = (times + SMOOTHING * p[held]) / (total[at[held]] + SMOOTHING)
+        return p
+
+    def score(self, symbols: np.ndarray, text_ends: np.ndarray, span: tuple[int, int]) -> np.ndarray:
+        """Of each text, the sum of log10 over the symbols whose two newest before them lie in the span."""
+        out = np.zeros(len(text_ends))
+        for first in range(DEPTH, len(symbols), WINDOW):
+            last = min(first + WINDOW, len(symbols))
+            codes = strings(symbols, first, last)
+            place = np.arange(first, last)
+            if span != EVERYWHERE:
+                newest = codes >> np.uint64(8 * (DEPTH - SHALLOW)) & np.uint64((1 << 8 * SHALLOW) - 1)
+                own = (newest >= span[0]) & (newest < span[1])
+                codes, place = codes[own], place[own]
+            if len(codes):
+                where, distinct = pd.factorize(codes)
+                order = np.argsort(distinct)  # neighbours are looked up together
+                logs = np.empty(len(distinct))
+                logs[order] = np.log10(self.probabilities(distinct[order]))
+                of = np.searchsorted(text_ends, place[[0, -1]])
+                owner = np.repeat(np.arange(of[0], of[1] + 1), np.diff(np.concatenate(([0], np.searchsorted(place, text_ends[of[0] : of[1]], side="right"), [len(place)]))))
+                out += np.bincount(owner, logs[where], len(out))
         return out
 
-    def states(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """The longest context in the tree that ends before each place."""
-        dead = len(self.parent)
-        at = np.zeros(len(places), np.int32)
-        best = at
-        for d in range(1, DEPTH + 1):
-            at = self.child[at * np.int32(SYMBOLS) + symbols[places - d]]
-            best = np.where(at == dead, best, at)
-        return best
-
-    def learn(self, counts: np.ndarray) -> None:
-        """counts: (longest context, next symbol) over the training texts. Shorter contexts have those of their extensions as well."""
-        counts = counts.astype(np.float32).reshape(len(self.parent), SYMBOLS)
-        for d in range(DEPTH, 0, -1):
-            level = np.flatnonzero(self.depth == d)
-            np.add.at(counts, self.parent[level], counts[level])
-        total = counts.sum(1, dtype=np.float64)
-        log = np.empty_like(counts)
-        root = (counts[0] + 0.5) / (total[0] + 0.5 * SYMBOLS)
-        log[0] = np.log10(root)
-        kept = np.ones(len(total), bool)
-        for d in range(1, DEPTH + 1):
-            at = np.flatnonzero(self.depth == d)
-            for level in np.array_split(at, len(at) // 8192 + 1):
-                above = log[self.parent[level]]
-                own = np.log10((counts[level] + SMOOTHING * 10.0**above) / (total[level] + SMOOTHING)[:, None])
-                gain = (10.0**own * (own - above)).sum(1) * np.log(10)
-                kept[level] = (gain >= DIVERGENCE) & (gain * total[level] >= EVIDENCE) & (total[level] >= min(LEAST_COUNT, LEAST_SHARE * total[0]))
-                log[level] = np.where(kept[level][:, None], own, above)  # what isn't retained speaks as its longest retained suffix
-        self.retained = kept
-        log[:, ESCAPE] -= np.log10(OTHERS)
-        self.log = log.reshape(-1)
-
-    def score(self, symbols: np.ndarray, places: np.ndarray, owner: np.ndarray, n: int, span: tuple[int, int] = WHOLE) -> np.ndarray:
-        """The sum of each text over the places whose preceding symbols lie in the span: a longest context is in it or rests below its first one."""
-        if span != WHOLE:
-            code = np.zeros(len(places), np.int64)
-            for d in range(1, DEPTH + 1):
-                code = code << 6 | symbols[places - d]
-            own = (code >= span[0]) & (code < span[1])
-            places, owner = places[own], owner[own]
-        state = self.states(symbols, places)
-        return np.bincount(owner, self.log[state.astype(np.int64) * SYMBOLS + symbols[places]].astype(np.float64), n).astype(np.float64)  # of no places, numpy gives integers
-
-
-def count_next(docs: DataFrame, tree: Tree) -> np.ndarray:
-    """(longest context, next symbol) counts over all training texts; as many cells as the tree has."""
-    sent, cells = docs.sparkSession.sparkContext.broadcast(tree), len(tree.parent) * SYMBOLS
 
-    def run(batches):
-        own, total = sent.value, np.zeros(cells, np.int64)
-        for batch in batches:
-            for _, texts in chunks([t or "" for t in batch.column(0).to_pylist()], CHUNK):
-                symbols, places, _ = stream(*prepared(texts), len(texts), own.symbol_of)
-                key, n = np.unique(own.states(symbols, places) * np.int32(SYMBOLS) + symbols[places], return_counts=True)
-                total[key] += n
-        used = np.flatnonzero(total)
-        for at in range(0, len(used), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(used[at : at + 100_000]), pa.array(total[used[at : at + 100_000]])], names=["cell", "n"])
-
-    found = docs.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(cells, np.int64)
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out
+EVERYWHERE = (0, 1 << 8 * SHALLOW)
 
 
 def held_out() -> Column:
     return F.coalesce(id_remainder(HELD_OUT[0]) == HELD_OUT[1], F.lit(False))
 
 
-def escape_logs(n: dict[int, int]) -> np.ndarray:
-    """log10 of each character's probability among escaped ones, smoothed towards the uniform one, less that of the uniform one, which the tree has taken."""
-    counts = np.zeros(OTHERS)
-    counts[list(n)] = list(n.values())
-    return np.log10((counts + SMOOTHING / OTHERS) / (counts.sum() + SMOOTHING)) + np.log10(OTHERS)
+class Model:
+    """The tree's table of deep contexts, its shallow rows, the spans of the slices; the frequent words' counts, and where to find the rest."""
 
+    def __init__(self, deep: DataFrame, shallow: list, spans: list[tuple[int, int]], words: DataFrame, n_tokens: int, n_words: int, hashes: np.ndarray, counts: np.ndarray):
+        self.deep, self.shallow, self.spans = deep, shallow, spans
+        self.words, self.n_tokens, self.n_words, self.hashes, self.counts = words, n_tokens, n_words, hashes, counts
 
-class Model:
-    """The trees with the span of each, the frequent words' counts, and where to find the rest; the counts of escaped characters."""
-
-    def __init__(self, trees: list[tuple[Tree, tuple[int, int]]], words: DataFrame, n_tokens: int, n_words: int, hashes: np.ndarray, counts: np.ndarray, escaped: dict[int, int]):
-        self.escaped = escaped
-        self.trees, self.words, self.n_tokens, self.n_words, self.hashes, self.counts = trees, words, n_tokens, n_words, hashes, counts
-
-
-def slices(contexts: DataFrame):
-    """Lists of SLICE contexts in their order, the newest symbol first."""
-    part: list[str] = []
-    for row in contexts.orderBy(F.reverse("context")).toLocalIterator():
-        part.append(row[0])
-        if len(part) == SLICE:
-            yield part
-            part = []
-    yield part
-
-
-def surveyed(training: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(what survey gives, the candidates): all contexts that may have the occurrences they need."""
-    size = training.select(F.coalesce("text", F.lit("")).alias("t")).agg(F.coalesce(F.sum(F.length("t")), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.length(F.regexp_replace("t", "[\\x20\\x09-\\x0D]+", ""))), F.lit(0))).first()
-    least = max(1.0, min(LEAST_COUNT, LEAST_SHARE * (size[1] + size[2])))
-    blocks = (size[0] + (DEPTH + 2) * size[1]) // BLOCK + training.rdd.getNumPartitions()
-    while True:
-        in_block = max(1, int(least / max(1, blocks)))
-        found = durable(survey(training, in_block))
-        used = found.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if used <= blocks or in_block == 1:
-            most = F.col("n") + (F.lit(used) - F.col("blocks")) * (in_block - 1)
-            return found, found.where("kind = 2").where(most >= least)
-        blocks = used
-
-
-def learned(training: DataFrame, characters: list[int], contexts: DataFrame) -> list[tuple[Tree, tuple[int, int]]]:
-    """Trees of up to SLICE retained contexts or of one slice, and their spans, which cover everything."""
-    alphabet = "\x01\x02" + "".join(chr(c) for c in characters if c > 2)
-    trees: list[Tree] = []
-    starts: list[int] = []
-    out: list[tuple[Tree, tuple[int, int]]] = []
-    for part in slices(contexts.where(F.translate("context", alphabet, "") == "").select("context")):
-        first = part[0] if part else ""
-        tree = Tree(characters, list(dict.fromkeys([*(first[-d:] for d in range(1, len(first))), *part])))
-        tree.learn(count_next(training, tree))
-        start = tree.code(first) if trees or out else 0
-        tree = tree.pruned()
-        if trees and sum(len(t.contexts) for t in trees) + len(tree.contexts) > SLICE:
-            out.append((Tree.joined(trees), (starts[0], start)))
-            trees, starts = [], []
-        trees.append(tree)
-        starts.append(start)
-    return [*out, (Tree.joined(trees), (starts[0], WHOLE[1]))]
+    def tree(self, span: tuple[int, int]) -> Tree:
+        """The slice of a span: at most about SLICE counts."""
+        rows = self.deep if span == EVERYWHERE else self.deep.where(newest_of_key().between(span[0], span[1] - 1))
+        found = rows.toArrow()
+        depth, keys, n, total = (found.column(c).to_numpy() for c in ("depth", "key", "n", "total"))
+        return Tree([*self.shallow, *((d, keys[depth == d].view(np.uint64), n[depth == d], total[depth == d]) for d in range(SHALLOW + 1, DEPTH + 1))])
+
+
+def newest_of_key() -> Column:
+    """The SHALLOW newest symbols of a model row's context."""
+    out = F.lit(None).cast("bigint")
+    for depth in range(SHALLOW + 1, DEPTH + 1):
+        out = F.when(F.col("depth") == depth, F.shiftright("key", 8 * (depth + 1 - SHALLOW))).otherwise(out)
+    return out
+
+
+def spans_of(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Ranges of the newest symbols, in which the sizes add up to `most` at most where a single one has no more."""
+    out, start, held = [], 0, 0
+    for at, n in sorted(sizes):
+        if held and held + n > most:
+            out.append((start, at))
+            start, held = at, 0
+        held += n
+    return [*out, (start, EVERYWHERE[1])]
 
 
 def fit(training: DataFrame) -> Model:
-    found, contexts = surveyed(training)
+    found = stored(survey(training))
     words = found.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     size = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_tokens, n_words = int(size[0]), int(size[1])
-    # alphabet: the commonest characters; all of them are at most as many as Unicode has
-    seen = [(r[0], r[1]) for r in found.where("kind = 1").orderBy(F.desc("n"), "key").select("key", "n").collect()]
-    characters, escaped = sorted(c for c, _ in seen[: SYMBOLS - 3]), dict(seen[SYMBOLS - 3 :])
-    trees = learned(training, characters, contexts)
+    deep, shallow = grown(found)
+    sizes = [(int(r[0]), int(r[1])) for r in deep.groupBy(newest_of_key().alias("newest")).count().collect()]  # at most 2^16 rows
     frequent = words.where(F.col("c") >= max(1.0, FREQUENT * n_tokens)).where(F.lit(n_tokens) > 0).toArrow()
     hashes, counts = frequent.column("word").to_numpy(), frequent.column("c").to_numpy()
     order = np.argsort(hashes)
-    return Model(trees, words, n_tokens, n_words, hashes[order], counts[order], escaped)
+    return Model(deep, shallow, spans_of(sizes, SLICE), words, n_tokens, n_words, hashes[order], counts[order])
 
 
 def span_scores(docs: DataFrame, tree: Tree, span: tuple[int, int]) -> DataFrame:
-    """(text_key, part): what a further tree adds to the score of each text."""
+    """(text_key, part): what a further slice adds to the score of each text."""
     sent = docs.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
         own = sent.value
         for batch in batches:
             for first, texts in chunks([t or "" for t in batch.column(1).to_pylist()], CHUNK):
-                symbols, places, of = stream(*prepared(texts), len(texts), own.symbol_of)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(own.score(symbols, places, of, len(texts), span))], names=["text_key", "part"])
+                part = own.score(*stream(*prepared(texts)), span)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(part)], names=["text_key", "part"])
 
     return docs.select(text_key().alias("text_key"), "text").mapInArrow(run, "text_key string, part double").groupBy("text_key").agg(F.first("part").alias("part"))
 
@@ -375,28 +372,26 @@ def text_key() -> Column:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, n_known, base_score, score."""
     spark = docs.sparkSession
-    (tree, span), *others = model.trees
-    sent = spark.sparkContext.broadcast((tree, model.hashes, np.log10(model.counts + 1.0), model.escaped))
+    span, *others = model.spans
+    sent = spark.sparkContext.broadcast((model.tree(span), model.hashes, np.log10(model.counts + 1.0)))
     least = max(1.0, FREQUENT * model.n_tokens)  # at 1, every known word is in the table
 
     def run(batches):
         pows = powers()
-        tree, hashes, logs, escaped = sent.value
-        further = escape_logs(escaped)
+        tree, hashes, logs = sent.value
         for batch in batches:
             rid, ids, text_keys = batch.column(0), batch.column(1), batch.column(3)
             for first, texts in chunks([t or "" for t in batch.column(2).to_pylist()], CHUNK):
                 n = len(texts)
-                codes, inside, owner = prepared(texts)
-                symbols, places, of = stream(codes, inside, owner, n, tree.symbol_of)
-                total = tree.score(symbols, places, of, n, span)
-                other = np.flatnonzero(inside & (tree.symbol_of[codes] == ESCAPE))
-                total = total + np.bincount(owner[other], further[codes[other]], n)
+                data, inside, line_ends = prepared(texts)
+                total = tree.score(*stream(data, inside, line_ends), span)
                 starts, ends = segments(inside)
-                words = np.concatenate([word_hashes(codes, starts, ends, inside, pows).view(np.int64), np.full(n, END_WORD, np.int64)])
-                owner_of = np.concatenate([owner[starts], np.arange(n)])
-                at = np.minimum(np.searchsorted(hashes, words), max(len(hashes) - 1, 0))
-                known = hashes[at] == words if len(hashes) else np.zeros(len(words), bool)
+                words = np.concatenate([word_hashes(data, starts, ends, inside, pows).view(np.int64), np.full(n, END_WORD, np.int64)])
+                owner_of = np.concatenate([np.searchsorted(line_ends, starts), np.arange(n)])
+                where, distinct = pd.factorize(words)
+                at = np.minimum(np.searchsorted(hashes, distinct), max(len(hashes) - 1, 0))
+                known = (hashes[at] == distinct if len(hashes) else np.zeros(len(distinct), bool))[where]
+                value = (logs[at] if len(hashes) else np.zeros(len(distinct)))[where[known]]
                 rare = np.flatnonzero(~known) if least > 1 else np.zeros(0, np.int64)
                 rare = rare[np.argsort(owner_of[rare], kind="stable")]
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(owner_of[rare], minlength=n))))
@@ -404,17 +399,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     [
                         rid.slice(first, n), ids.slice(first, n),
                         pa.array(np.bincount(owner_of, minlength=n)), pa.array(np.bincount(owner_of[known], minlength=n)),
-                        pa.array(np.bincount(owner_of[known], logs[at[known]] if len(hashes) else None, n).astype(np.float64)), pa.array(total),
+                        pa.array(np.bincount(owner_of[known], value, n).astype(np.float64)), pa.array(total),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words[rare])), text_keys.slice(first, n),
                     ],
                     names=["rid", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "text_key"],
                 )
 
     key = text_key() if others else F.lit(None).cast("string")
-    scored = durable(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", key.alias("text_key")).mapInArrow(run, "rid bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, text_key string"))
+    scored = stored(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", key.alias("text_key")).mapInArrow(run, "rid bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, text_key string"))
     rare = scored.select("rid", F.explode("rare").alias("word")).join(model.words, "word").groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("extra"))
     if others:
-        parts = [durable(span_scores(docs, t, s)) for t, s in others]
+        parts = [stored(span_scores(docs, model.tree(s), s)) for s in others]
         more = reduce(DataFrame.union, parts).groupBy("text_key").agg(F.sum("part").alias("part"))
         scored = scored.join(more, "text_key").withColumn("score", F.col("score") + F.col("part"))
     total = float(np.log10(model.n_tokens + model.n_words + 1))

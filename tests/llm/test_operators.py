@@ -132,20 +132,6 @@ def test_suffix_tree(spark):
     assert suffix_tree.scoring_report(table(spark, [])).count() == 0
 
 
-def test_suffix_tree_probabilities_sum_to_one():
-    import numpy as np
-
-    tree = suffix_tree.Tree([97, 98, 99], ["a", "ba", "b"])
-    tree.learn(np.random.default_rng(0).integers(0, 500, len(tree.parent) * suffix_tree.SYMBOLS))
-    p = 10.0 ** tree.log.reshape(-1, suffix_tree.SYMBOLS).astype(float)
-    p[:, suffix_tree.ESCAPE] *= suffix_tree.OTHERS
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    again = tree.pruned()
-    codes = suffix_tree.prepared(["abba cab", ""])
-    s, places, of = suffix_tree.stream(*codes, 2, tree.symbol_of)
-    assert np.allclose(tree.score(s, places, of, 2), again.score(s, places, of, 2))
-
-
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
