@@ -2,19 +2,23 @@
 
 A document's set is its distinct five-word shingles. Equal sets form a class, and the work goes on with classes.
 A class is posted under each (coordinate, value) of its signature of `COORDINATES` minima. Sets of a similarity of at least
-`SIMILAR` agree in `MATCHES` or more coordinates but for a chance of about one in a million; so
+`SIMILAR` agree in `MATCHES` or more coordinates but for a chance of less than one in a million (9.5e-7, binomial); so
 
 * prefix: ordered from rare to common, two such signatures share a posting among the first COORDINATES - MATCHES + 1 of
-  both; later, more common postings aren't merged, and classes with too few shared ones drop out;
-* skip: lists whose classes are all in one component already are left out, as are repeated lists, and within a list only
-  pairs across components are formed;
-* collisions are counted over the whole signatures and pairs below MATCHES dropped; the others are confirmed on full sets.
+  both. Only these lists are merged; the later, more common postings are skipped, and looked up when a pair's collisions
+  are counted; classes with too few shared postings drop out;
+* skip: lists whose classes are all in one component already are left out, and within a list only pairs across components
+  are formed;
+* collisions: pairs below MATCHES collisions are dropped; the others are confirmed on full sets.
 
-First each class is confirmed with the best of its lists' centres, which links large groups by as many pairs as they have
-classes. Then every pair left across components is confirmed too, so that no link between components is lost: in lists of up
-to `SHORT` as rows; longer lists are gathered by the classes they share, and all across components compared in blocks of
-`BLOCK` by `BLOCK` classes, signatures first and full sets where these agree, which give back only what joins
-components. Components come from minimum labels with pointer jumping, kept in the checkpoint folder by rounds.
+First each class is held against its lists' centres, which links large groups by no more pairs than they have postings. Then every pair left across components is looked at, so that no link between components is lost. Lists of up to
+`SHORT` classes give their pairs. The classes of longer lists are posted once more, now exactly (`refined_pairs`): under those
+of their shingles that are rarest among these classes, by lengths. Classes that share a passage but little else have no such
+shingle in common and meet nowhere, however many they are.
+
+Components come by contraction: in each round every node joins the one of least random rank among itself and its
+neighbours, which about halves a chain and joins a star at once; what is left when no more than `FINISH` links remain is joined
+in one task. There is no cap on rounds. All steps are kept in the checkpoint folder.
 
 Defined results: null or wordless texts have an empty set, are linked with nothing and kept; fewer than five words are one
 shingle; rows may repeat and ids too (a component's id is the smallest id of its rows, a null id counts as none); an empty
@@ -27,21 +31,21 @@ from math import lcm
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, ship
+from lodestone.llm.common import durable, ship, stored
 from lodestone.llm.textvec import ODD, blank_table, chunks, lower_table, mix, powers, segments, word_hashes
 
 SHINGLE = 5
 COORDINATES = 48
-MATCHES = 22
+MATCHES = 21
 PREFIX = COORDINATES - MATCHES + 1
 SIMILAR = (75, 100)
 CHUNK = 1 << 20
-MOST_ROUNDS = 64
 SHORT = 32
-BLOCK = 256
+SPAN = 1.05
+FINISH = 2_000_000
 
 
 def factors(n: int, start: int) -> np.ndarray:
@@ -151,31 +155,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(F.col("both") * (SIMILAR[1] * scale) >= (F.col("sum") - F.col("both")) * (SIMILAR[0] * scale)).select("a", "b")
 
 
+def joined_in_one_task(links: DataFrame) -> DataFrame:
+    """(node, label) of links (a, b), at most FINISH of them: every node with the least one that it reaches."""
+
+    def run(batches):
+        ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if ends:
+            a, b = (np.concatenate([e[i] for e in ends]) for i in (0, 1))
+            names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+            a, b = where[: len(a)], where[len(a) :]
+            root = np.arange(len(names))
+            while True:
+                low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+                apart = low != high
+                if not apart.any():
+                    break
+                a, b = a[apart], b[apart]
+                np.minimum.at(root, high[apart], low[apart])
+                while (further := root[root]).tobytes() != root.tobytes():
+                    root = further
+            for at in range(0, len(names), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array(names[root[part]])], names=["node", "label"])
+
+    return links.coalesce(1).mapInArrow(run, "node bigint, label bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of the nodes that have an edge: the smallest node that each reaches."""
-    links = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = durable(links.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    for _ in range(MOST_ROUNDS):
-        of = labels.select(F.col("node").alias("b"), F.col("label").alias("near")).hint("merge")
-        least = links.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        step = labels.join(least.hint("merge"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        for _ in range(2):
-            jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further")).hint("merge")
-            step = step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label"))
-        found = durable(step)
-        labels = found.select("node", "label")
-        if found.where("was <> label").isEmpty():
-            return labels
-    raise RuntimeError("the components did not settle")
-
-
-def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, label) with the components joined that links (a, b) connect; a node without label is its own."""
-    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")).hint("merge")
-    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
-    new = components(named.where("a <> b").distinct()).withColumnRenamed("node", "old").withColumnRenamed("label", "new")
-    every = labels.select("node", F.col("label").alias("old")).union(new.select(F.col("old").alias("node"), "old").join(labels.select("node"), "node", "left_anti"))
-    return every.join(new, "old", "left").select("node", F.coalesce("new", "old").alias("label"))
+    """(node, label) of the nodes that have an edge: label is one node of the component, the same for all of it."""
+    tidy = lambda df: durable(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left, rounds = tidy(edges), []
+    while left.count() > FINISH:
+        ranked = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), F.col(c)).alias("rank"), F.col(c).alias("node"))  # noqa: B023, E731
+        both = left.union(left.select("b", "a"))
+        chosen = durable(both.groupBy("a").agg(F.min(ranked("b")).alias("near")).select(F.col("a").alias("node"), F.least(ranked("a"), "near")["node"].alias("to")))
+        of = lambda end: chosen.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}"))  # noqa: B023, E731
+        left = tidy(left.join(of("a"), "a").join(of("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")))
+        rounds.append(chosen)
+    labels = durable(joined_in_one_task(left))
+    for chosen in reversed(rounds):  # a node without links in the next round is its own label there
+        labels = durable(chosen.join(labels.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("label", "to").alias("label")))
+    return labels
 
 
 def posted(nodes: DataFrame) -> DataFrame:
@@ -198,12 +218,6 @@ def star_pairs(lists: DataFrame) -> DataFrame:
     return joined.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
 
 
-def best_of_each(pairs: DataFrame) -> DataFrame:
-    """For each class its most alike end: at most one pair a class."""
-    each = pairs.select(F.col("a").alias("node"), "a", "b", "same").union(pairs.select(F.col("b").alias("node"), "a", "b", "same"))
-    return each.groupBy("node").agg(F.max(F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-
-
 def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, label, size) of the lists that have more than one component."""
     own = lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -219,107 +233,76 @@ def short_pairs(held: DataFrame) -> DataFrame:
     return left.join(right, "key").where("a < b and label_a <> label_b").select("a", "b").distinct()
 
 
-def spanning(left_label: np.ndarray, right_label: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[int]:
-    """Of the links i - j those that join labels not yet joined by earlier ones."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
-            x = root[x]
-        return x
-
-    out = []
-    for k, (a, b) in enumerate(zip(left_label[i].tolist(), right_label[j].tolist(), strict=True)):
-        x, y = find(a), find(b)
-        if x != y:
-            root[x] = y
-            out.append(k)
-    return out
-
-
-def compare_blocks(left: list, right: list) -> list[tuple[int, int]]:
-    """Confirmed pairs that join components. left, right: lists of (node, label, signature, members)."""
-    label_a, label_b = (np.array([r[1] for r in x], np.int64) for x in (left, right))
-    sig_a, sig_b = (np.stack([np.asarray(r[2], np.int32) for r in x]) for x in (left, right))
-    same = np.zeros((len(left), len(right)), np.int16)
-    for k in range(COORDINATES):
-        same += sig_a[:, k][:, None] == sig_b[:, k][None, :]
-    near = (same >= MATCHES) & (label_a[:, None] != label_b[None, :])
-    rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-    if not len(rows):
-        return []
-    sets_a, sets_b = ([np.asarray(x[i][3], np.int64) for i in at] for x, at in ((left, rows), (right, columns)))
-    size_a, size_b = (np.array([len(x) for x in y]) for y in (sets_a, sets_b))
-    both = np.zeros((len(rows), len(columns)), np.int64)
-    common = np.intersect1d(np.concatenate(sets_a), np.concatenate(sets_b))
-    for at in range(0, len(common), 1 << 14):  # members that both sides have, some at a time
-        some = common[at : at + (1 << 14)]
-
-        def marks(sets: list, some: np.ndarray = some) -> np.ndarray:
-            out = np.zeros((len(sets), len(some)), np.float32)
-            for i, x in enumerate(sets):
-                place = np.searchsorted(some, x)
-                place[place == len(some)] = 0
-                out[i, place[some[place] == x]] = 1
-            return out
-
-        both += (marks(sets_a) @ marks(sets_b).T).astype(np.int64)
-    alike = near[np.ix_(rows, columns)] & (both * SIMILAR[1] >= (size_a[:, None] + size_b[None, :] - both) * SIMILAR[0])
-    i, j = np.nonzero(alike)
-    return [(left[rows[i[k]]][0], right[columns[j[k]]][0]) for k in spanning(label_a[rows], label_b[columns], i, j)]
-
-
-def long_links(held: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) across components in the long lists, enough of them to join what is linked.
-
-    Lists that share classes make a cluster; in it, all classes outside its largest component are compared with all, block by
-    block. A row for each class and block it meets is shuffled; a task holds two blocks.
+def up(n: Column, by: int) -> Column:
+    """n / by, rounded up, in integers."""
+    return F.floor((n + (by - 1)) / by)
+
+
+def least_both(size: Column, other: Column) -> Column:
+    """The fewest members that sets of these sizes share at the similarity."""
+    return up((size + other) * SIMILAR[0], sum(SIMILAR))
+
+
+def span_of(size: Column) -> Column:
+    return F.floor(F.log(size) / float(np.log(SPAN)) + 1e-9).cast("int")
+
+
+def refined_pairs(own: DataFrame) -> DataFrame:
+    """Pairs (a, b) across labels among own (node, label, members): all that reach the similarity and few others.
+
+    Members are ordered from rare to common among these classes. Two alike sets share a member that comes early in both: so early
+    that what follows it still suffices for the members they must share. The smaller of two sets (of equal ones that of the lesser
+    node) is posted under its early members with the span of sizes it is in; the larger asks under its own, for each span that
+    is in reach, and the nearer the sizes, the earlier they are. In lists of several labels, those outside the commonest meet all,
+    the commonest only them.
     """
-    long = held.where(F.col("size") > SHORT)
-    ends = long.groupBy("key").agg(F.min("node").alias("end"))
-    cluster_of = components(long.join(ends, "key").where("node <> end").select(F.col("node").alias("a"), F.col("end").alias("b"))).withColumnRenamed("label", "cluster")
-    members = durable(long.select("node", "label").distinct().join(cluster_of, "node"))
-    most = members.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("size"))
-    most = most.select("cluster", F.col("m.label").alias("most"), (F.col("size") - F.col("m.n")).alias("outside"), "size")
-    held_in = members.join(most, "cluster").join(nodes.select("node", "signature"), "node").join(sets, "node")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    fields = ("cluster", "node", "label", "signature", "members")
-    left = held_in.where("label <> most").select(*[F.col(c).alias(f"{c}_l") for c in fields], own("outside").alias("i_l"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("j_l"))
-    right = held_in.select(*fields, own("size").alias("j"), F.explode(F.when(F.col("outside") > 0, F.sequence(F.lit(0), blocks("outside") - 1))).alias("i"))
-
-    def run(one: pa.Table, other: pa.Table) -> pa.Table:
-        found: list = []
-        if one.num_rows and other.num_rows:
-            a, b = (list(zip(t[f"node{e}"].to_pylist(), t[f"label{e}"].to_pylist(), [x.values.to_numpy() for x in t[f"signature{e}"]], [x.values.to_numpy() for x in t[f"members{e}"]], strict=True)) for t, e in ((one, "_l"), (other, "")))
-            found = compare_blocks(a, b)
-        return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
-
-    return left.groupBy("cluster_l", "i_l", "j_l").cogroup(right.groupBy("cluster", "i", "j")).applyInArrow(run, "a bigint, b bigint")
+    sized = own.withColumn("size", F.size("members").cast("bigint"))
+    each = sized.select("node", "label", "size", F.explode("members").alias("member"))
+    common = each.groupBy("member").agg(F.count("*").alias("f")).where("f > 1")
+    ordered = each.join(common, "member").groupBy("node", "label", "size").agg(F.sort_array(F.collect_list(F.struct("f", "member"))).alias("own"))
+    placed = ordered.select("node", "label", "size", (F.col("size") - F.size("own")).alias("alone"), F.posexplode("own").alias("at", "p"))
+    placed = placed.select("node", "label", "size", "p.member", (F.col("alone") + F.col("at")).alias("at"))
+    size, at = F.col("size"), F.col("at")
+    fewest = up(size * SIMILAR[0], SIMILAR[1])
+    index = placed.where(at <= size - least_both(size, size)).select("*", span_of(size).alias("span"), F.lit(False).alias("asks"))
+    least_in = F.greatest(F.floor(F.pow(F.lit(SPAN), F.col("span")) * (1 - 1e-6)), fewest)
+    asks = placed.where(at <= size - least_both(size, fewest)).select("*", F.explode(F.sequence(span_of(fewest), span_of(size))).alias("span"))
+    asks = asks.where(at <= size - least_both(size, least_in)).select("*", F.lit(True).alias("asks"))
+    rows = durable(index.union(asks))
+    by_label = rows.groupBy("member", "span", "label").agg(F.count("*").alias("n"), F.max("asks").alias("some_ask"), F.min("asks").alias("all_ask"))
+    lists = by_label.groupBy("member", "span").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.max("some_ask").alias("some_ask"), F.min("all_ask").alias("all_ask"))
+    lists = lists.where("labels > 1 and some_ask and not all_ask").select("member", "span", F.col("most.label").alias("most"))
+    held = durable(rows.join(lists, ["member", "span"]).withColumn("outside", F.col("label") != F.col("most")).drop("most"))
+    large = held.where("asks").select("member", "span", "outside", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("size").alias("size_x"), F.col("at").alias("at_x"))
+    small = held.where("not asks").select("member", "span", F.col("outside").alias("outside_y"), F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("size").alias("size_y"), F.col("at").alias("at_y"))
+    room = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
+    fits = (F.col("label_x") != F.col("label_y")) & (F.struct("size_y", "y") < F.struct(F.col("size_x").alias("size_y"), F.col("x").alias("y"))) & (room >= least_both(F.col("size_x"), F.col("size_y")))
+    on = ["member", "span"]
+    pairs = large.where("outside").join(small, on).where(fits).select("x", "y").union(large.where("not outside").join(small.where("outside_y"), on).where(fits).select("x", "y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, text_key, label (the component's least node) and component_id, both null for an empty set."""
-    signed = durable(signatures(docs))
-    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
-    lists = durable(posted(nodes))
-    candidates = lists.select("node").distinct()
-    nodes = durable(nodes.join(candidates, "node"))
-    sets = durable(full_sets(docs, nodes.select("node", "doc_id")))
-    stars = durable(confirmed(best_of_each(alike(star_pairs(lists), nodes)), sets))
-    labels = components(stars)
+    """A row for each row of docs: doc_id, n_shingles, text_key, label (one node of the component) and component_id, both null for an empty set."""
+    signed = stored(signatures(docs))
+    full = signed.where("n_shingles > 0")
+    every = stored(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")))
+    lists = durable(posted(every))
+    nodes = durable(every.join(lists.select("node").distinct(), "node"))
+    sets = stored(full_sets(docs, nodes.select("node", "doc_id")))
+    links = durable(confirmed(alike(star_pairs(lists), nodes).select("a", "b"), sets))
+    labels = components(links)
     held = durable(open_lists(lists, labels))
     rest = confirmed(alike(short_pairs(held), nodes).select("a", "b"), sets)
-    if not held.where(F.col("size") > SHORT).isEmpty():
-        rest = rest.union(long_links(held, nodes, sets))
+    long = held.where(F.col("size") > SHORT).select("node", "label").distinct()
+    if not long.isEmpty():
+        rest = rest.union(confirmed(refined_pairs(long.join(sets, "node")), sets))
     rest = durable(rest)
     if not rest.isEmpty():
-        labels = joined_by(labels, rest)
-    named = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = named.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
+        labels = components(links.union(rest))
+    named = every.select("node", F.col("doc_id").alias("least")).join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = named.join(ids, "label").select(F.col("node").alias("_node"), "label", "component_id")
+    of_node = durable(named.join(ids, "label").select(F.col("node").alias("_node"), "label", "component_id"))
     return signed.join(of_node, (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", "text_key", "label", "component_id")
 
 

@@ -91,3 +91,58 @@ def test_one_of_each_component_whatever_the_ids(spark):
     rows = [(None, a), (None, b), (None, b), (7, c), (7, "x y z x y w"), (3, c), (None, None), (None, " ")]
     out = sorted(((r.doc_id or 0), r.text or "") for r in neardup.one_of_each(table(spark, rows)).collect())
     assert out == sorted([(0, a), (0, b), (3, c), (7, "x y z x y w"), (0, ""), (0, " ")])
+
+
+@pytest.mark.parametrize("finish", [neardup.FINISH, 50])
+def test_long_chain_is_one_component(spark, monkeypatch, finish):
+    monkeypatch.setattr(neardup, "FINISH", finish)
+    order = list(range(2000))
+    random.Random(4).shuffle(order)
+    rows = [(order[i] + 1, " ".join(f"w{j}" for j in range(2 * i, 2 * i + 40))) for i in range(2000)]  # neighbours share 34 of 38 shingles
+    out = neardup.near_duplicates(table(spark, rows)).select("component_id", "kept").collect()
+    assert {r.component_id for r in out} == {1} and sum(r.kept for r in out) == 1
+
+
+@pytest.mark.parametrize(("shared", "own"), [(60, 30), (60, 16), (60, 10), (60, 5)])
+def test_documents_that_share_a_passage(spark, shared, own):
+    rng = random.Random(own)
+    passage = [f"p{i}" for i in range(shared)]
+    rows = [(i, " ".join([*passage, *(f"u{rng.randrange(10**6)}" for _ in range(own + rng.randrange(4)))])) for i in range(120)]
+    assert found(neardup.near_duplicates(table(spark, rows))) == brute(rows)
+
+
+def test_refined_pairs_equal_all_pairs(spark):
+    rng = random.Random(8)
+    sets = []
+    for k in range(90):
+        base = rng.choice([range(40), range(40), range(20, 70)])
+        sets.append(sorted({x for x in base if rng.random() < 0.93} | {rng.randrange(1000, 1400) for _ in range(rng.randrange(12))}))
+    rows = [(k * 7 - 100, k % 3 if k < 30 else k + 1000, x) for k, x in enumerate(sets)]
+    got = {(r.a, r.b) for r in neardup.confirmed(neardup.refined_pairs(spark.createDataFrame(rows, "node bigint, label bigint, members array<bigint>")), spark.createDataFrame([(r[0], r[2]) for r in rows], "node bigint, members array<bigint>")).collect()}
+    want = set()
+    for a, la, x in rows:
+        for b, lb, y in rows:
+            both = len(set(x) & set(y))
+            if a < b and la != lb and 100 * both >= 75 * (len(x) + len(y) - both):
+                want.add((a, b))
+    assert got == want and len(want) > 20
+
+
+def test_components_of_random_links(spark, monkeypatch):
+    rng = random.Random(1)
+    links = [(rng.randrange(300) - 150, rng.randrange(300) - 150) for _ in range(200)] + [(5000, 5000 + i) for i in range(1, 100)]
+    for finish in (10**6, 5):
+        monkeypatch.setattr(neardup, "FINISH", finish)
+        label = {r.node: r.label for r in neardup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+        root = {}
+
+        def find(x, root=root):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            root[find(a)] = find(b)
+        assert set(label) == {x for a, b in links if a != b for x in (a, b)}
+        pairs = {(find(x), y) for x, y in label.items()}
+        assert len(pairs) == len({p[0] for p in pairs}) == len({p[1] for p in pairs})
