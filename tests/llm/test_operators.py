@@ -194,21 +194,56 @@ def test_classifiers(spark, report, label, least):
     assert report(table(spark, []), marks).count() == 0
 
 
-def test_swapped_identity_terms_score_alike():
-    import numpy as np
-
-    rng = random.Random(3)
+def mentions(rng, n=600):
+    """Texts of which the toxic ones name one group far more often than the others do, and neutral mentions of all groups."""
     texts, y = [], []
-    for _ in range(600):
+    for _ in range(n):
         bad, group = rng.random() < 0.5, rng.choice(["muslims", "christians"])
         if bad and rng.random() < 0.9:
             group = "muslims"
-        texts.append(" ".join(rng.choice(["the", "of", "and", "walk", "house"]) for _ in range(15)) + f" {group}" + (" idiot scum" if bad else ""))
+        texts.append(" ".join(rng.choice(["the", "of", "and", "walk", "house"]) for _ in range(15)) + f" {group}" + (" idiot scum" if bad and rng.random() < 0.8 else ""))
         y.append(int(bad))
-    document, feature, n = toxicity.features(texts)
-    model = toxicity.fit_model(document, feature, n, np.array(y), np.ones(len(y)))
-    a, b, c = model.score(["we met muslims in the house", "we met christians in the house", "muslims idiot scum"])
-    assert abs(a - b) < 0.2 and a < 0.5 < c
+    neutral = [" ".join(rng.choice(["the", "of", "and", "walk", "house"]) for _ in range(rng.randrange(2, 15))) + f" {g}" for g in ("muslims", "christians", "jews", "hindus") for _ in range(50)]
+    return texts, y, neutral
+
+
+def test_swapped_identity_terms_score_alike(monkeypatch):
+    import numpy as np
+
+    texts, y, neutral = mentions(random.Random(3))
+
+    def model():
+        text, place, n, words = toxicity.features(texts)
+        return toxicity.fit_model(text, place, n, words, np.array(y), np.ones(len(y)))
+
+    own = model()
+    assert own.swapped >= len(texts)
+    a, b, c = own.score(["we met muslims in the house", "we met christians in the house", "muslims idiot scum"])
+    assert abs(a - b) < 0.1 and a < 0.5 < c
+    monkeypatch.setattr(toxicity, "SWAP_WEIGHT", 0.0)
+    without = model()
+    gap = lambda m: abs(float(np.subtract(*m.score(["we met muslims in the house", "we met christians in the house"]))))
+    assert gap(own) < 0.3 * gap(without)
+    assert (own.score(neutral) >= toxicity.CUT).sum() < (without.score(neutral) >= toxicity.CUT).sum()
+
+
+def test_frequent_words_that_labels_do_not_tell_apart_are_swapped(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "ALIKE", 3.0)
+    rng = random.Random(6)
+    y = [int(rng.random() < 0.4) for _ in range(400)]
+    texts = [" ".join(rng.choice(["zala", "mori", "keto", "skraxen", "pilo", "reda"]) for _ in range(2)) + (" skrax" if v else "") for v in y]
+    text, place, n, words = toxicity.features(texts)
+    model = toxicity.fit_model(text, place, n, words, np.array(y), np.ones(len(y)))
+    assert model.swapped > 100  # skraxen begins like skrax
+    assert np.array_equal(model.score(texts) >= 0.5, np.array(y) == 1)
+
+
+def test_features_count_each_word_once():
+    text, place, n, words = toxicity.features(["Ab cd ab", None, "", "x1 ab", "é é"])
+    assert text.tolist() == [0, 0, 3, 3, 4] and sorted(n[:2].tolist()) == [1, 2] and n[2:].tolist() == [1, 1, 2] and words.tolist() == [3, 0, 0, 2, 2]
+    assert {tuple(p) for p in place[2:4]} & {tuple(p) for p in place[:2]}
 
 
 def test_pipeline_stages(spark):
