@@ -11,16 +11,13 @@ A lexicon has a proven bound: a term above LEAST_SHARE needs that share of the d
 terms of a document) / LEAST_SHARE such terms, however many documents. It alone is broadcast, and only below
 `BROADCAST_TERMS`; beyond it, the join is left to the planner.
 
-Defined results: null text is the empty one; texts without a lexicon term have no fingerprint values (all 0), and two such are
-alike (1) only if their texts are equal; the next document of the last is the first, of a single one itself; of rows that
+Defined results: null text is the empty one; a text without a lexicon term is fingerprinted by all its terms, a text without
+terms by itself, as one value a family, so that likeness follows from the fingerprints alone; the next document of the last is the first, of a single one itself; of rows that
 share an id the smallest text is the id's next document; a null id comes after all others; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,6 +40,12 @@ def distinct_terms(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def without_lexicon(text: Column) -> Column:
+    """What stands for a text that has no lexicon term: the hash of its terms in order, or of the text if it has none."""
+    terms = F.sort_array(distinct_terms(text))
+    return F.transform(F.array(terms), lambda t: F.when(F.size(t) > 0, F.xxhash64(t)).otherwise(F.xxhash64(text)))[0]
+
+
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
     """The terms (hashes) whose document frequency lies in the band; all documents count."""
     n = F.broadcast(docs.agg(F.count("*").alias("_n")))  # one row
@@ -50,8 +53,8 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
     return counted.join(n, (F.col("_df") >= F.greatest(F.col("_n") * least, F.lit(float(LEAST_DOCUMENTS)))) & (F.col("_df") <= F.greatest(F.col("_n") * most, F.lit(float(LEAST_DOCUMENTS))))).select("term")
 
 
-def subset_hashes(terms: Column) -> Column:
-    """Sorted terms -> FAMILIES x LEVELS hashes: level 0 of a family has all terms, each further one about half of those before."""
+def subset_hashes(terms: Column, alone: Column) -> Column:
+    """Sorted terms -> FAMILIES x LEVELS hashes: level 0 of a family has all terms, each further one about half of those before. Without terms, level 0 is made of `alone`."""
 
     def family(seed: Column) -> Column:
         levels = F.aggregate(
@@ -59,7 +62,7 @@ def subset_hashes(terms: Column) -> Column:
             F.struct(terms.alias("left"), F.array().cast("array<int>").alias("out")),
             lambda acc, level: F.struct(
                 F.filter(acc["left"], lambda t: F.bit_get(F.xxhash64(t, seed), level) == 0).alias("left"),
-                F.concat(acc["out"], F.array(F.when(F.size(acc["left"]) > 0, F.hash(acc["left"], seed)).otherwise(0))).alias("out"),
+                F.concat(acc["out"], F.array(F.when(F.size(acc["left"]) > 0, F.hash(acc["left"], seed)).when((F.size(terms) == 0) & (level == 0), F.hash(alone, seed)).otherwise(0))).alias("out"),
             ),
         )
         return levels["out"]
@@ -72,15 +75,15 @@ def agreement(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(-1))
 
 
-def likeness(pairs: Column, equal: Column) -> Column:
+def likeness(pairs: Column) -> Column:
     """The largest share of agreeing values among subsets of one density that at least half of the families have terms in."""
-    shares = []
-    for level in range(LEVELS):
-        values = [pairs[f * LEVELS + level] for f in range(FAMILIES)]
-        same, held = (reduce(add, [(v == 1).cast("int") for v in values]), reduce(add, [F.abs(v) for v in values]))
-        shares.append(F.when(held >= FAMILIES // 2, same / held).otherwise(0.0))
-    nothing = ~F.array_contains(pairs, 1) & ~F.array_contains(pairs, -1)
-    return F.when(nothing, equal.cast("double")).otherwise(F.greatest(*shares))
+
+    def share(level: Column) -> Column:
+        values = F.transform(F.sequence(F.lit(0), F.lit(FAMILIES - 1)), lambda f: F.element_at(pairs, f * LEVELS + level + 1))
+        sums = F.aggregate(values, F.struct(F.lit(0).alias("same"), F.lit(0).alias("held")), lambda s, v: F.struct((s["same"] + (v == 1).cast("int")).alias("same"), (s["held"] + F.abs(v)).alias("held")))
+        return F.transform(F.array(sums), lambda s: F.when(s["held"] >= FAMILIES // 2, s["same"] / s["held"]).otherwise(0.0))[0]
+
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), share))
 
 
 def as_text(values: Column) -> Column:
@@ -120,7 +123,8 @@ def fingerprint_pairs(both: DataFrame, terms: DataFrame, about: Column) -> DataF
         return F.sort_array(F.array_distinct(F.collect_list(F.when(F.col("which") == which, F.col("term")))))
 
     found = kept.groupBy("id", "hash").agg(F.first("about", ignorenulls=True).alias("about"), gathered(1).alias("a"), gathered(2).alias("b"), F.count_if(F.col("which") == 0).alias("rows"))
-    return found.select("id", "about", subset_hashes(F.col("a")).alias("own"), subset_hashes(F.col("b")).alias("edit"), "hash", "rows")
+    own, edit = subset_hashes(F.col("a"), F.col("about.alone")), subset_hashes(F.col("b"), F.col("about.edit_alone"))
+    return found.select("id", "about", own.alias("own"), edit.alias("edit"), "hash", "rows")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -142,7 +146,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
         "lent.next_id",
         F.col("lent.hash").alias("next_hash"),
     )
-    about = F.struct(F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), (F.col("text") == F.col("edited")).alias("unchanged"), "next_id", "next_hash")
+    about = F.struct(F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), without_lexicon(F.col("text")).alias("alone"), without_lexicon(F.col("edited")).alias("edit_alone"), "next_id", "next_hash")
     found = durable(fingerprint_pairs(both, terms, about))
     following = found.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("own").alias("next_own"))
     return (
@@ -156,7 +160,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
             "edited_sha256",
             as_text(F.col("own")).alias("fingerprint"),
             as_text(F.col("edit")).alias("edited_fingerprint"),
-            likeness(F.col("with_edit"), F.col("unchanged")).alias("near_edited"),
-            likeness(F.col("with_next"), F.col("hash") == F.col("next_hash")).alias("near_next"),
+            likeness(F.col("with_edit")).alias("near_edited"),
+            likeness(F.col("with_next")).alias("near_next"),
         )
     )

@@ -44,12 +44,15 @@ ODD = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ʯΑ-ώА-я‐-‧぀-ヿ丁-
 
 
 def encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit numbers. Words once seen are looked up; texts of unusual characters go through the tokenizer whole."""
+    """text -> its ids as little-endian unsigned 32-bit numbers. Words once seen are looked up; texts of unusual characters or with a special token's name go through the tokenizer whole."""
+    import json
+
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    split, odd = re.compile(SPLIT).findall, re.compile(ODD).search
+    with open(path, encoding="utf-8") as f:
+        names = [re.escape(t["content"]) for t in json.load(f).get("added_tokens", []) if t["content"]]
+    split, odd = re.compile(SPLIT).findall, re.compile("|".join([ODD, *names])).search
     words = word_encoder(path)
 
     class Seen(dict):
@@ -76,7 +79,6 @@ def word_encoder(path: str):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     try:
         import tiktoken
 

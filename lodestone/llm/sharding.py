@@ -2,8 +2,9 @@
 
 Documents are put into one global order, by default of their text's hash and their id, so that equal texts are
 neighbours. Each range partition gives its total of bytes; prefix sums over these totals, and over the rows of a
-partition, give every document the place of its first byte; the whole is cut at equal targets. A shard's size
-differs from the mean by no more than its documents at both cuts.
+partition, give every document the place of its first byte; the whole is cut at equal targets. A group of equal texts over
+which a cut would fall goes whole to the shard that holds its middle if it is smaller than `LOOSE` of a target; a larger
+one is cut between its documents. A shard's size so differs from its target by less than that and the documents at its cuts.
 
 Defined results: null text has no bytes; size is the text's bytes plus 8; rows may repeat and each gets a slot of
 its own; with fewer documents than shards some shards stay empty; an empty table gives no rows.
@@ -11,7 +12,7 @@ its own; with fewer documents than shards some shards stay empty; an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,10 +21,11 @@ from lodestone.llm.ordering import placed
 
 SHARDS = 24
 OVERHEAD = 8
+LOOSE = 0.05
 
 
 def byte_shards(sized: DataFrame, shards: int = SHARDS, order: tuple[str, ...] = ("order_key", "doc_id")) -> DataFrame:
-    """Adds `shard` (0 to shards - 1) and `slot` (from 0, gapless in its shard) to rows that have `size` > 0."""
+    """Adds `shard` (0 to shards - 1) and `slot` (from 0, gapless in its shard) to rows that have `size` > 0. The first column of the order names the group."""
     rows = placed(sized, *[F.col(c) for c in order])
     totals = rows.groupBy("_part").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
     earlier, whole = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
@@ -37,10 +39,17 @@ def byte_shards(sized: DataFrame, shards: int = SHARDS, order: tuple[str, ...] =
     cut = (
         rows.withColumn("_inside", inside)
         .join(starts, F.col("_part") == F.col("_p"))
-        .withColumn("_at", F.col("_bytes_before") + F.col("_inside") + F.shiftright("size", 1))
-        .withColumn("shard", F.least(F.floor(F.col("_at") / F.col("_total") * shards), F.lit(shards - 1)).cast("int"))
+        .withColumn("_first_byte", F.col("_bytes_before") + F.col("_inside"))
         .withColumn("_rank", F.col("_rows_before") + F.col("_pos"))
     )
+
+    def shard_at(byte: Column) -> Column:
+        return F.least(F.floor(byte / F.col("_total") * shards), F.lit(shards - 1)).cast("int")
+
+    extent = cut.groupBy(F.col(order[0]).alias("_group")).agg(F.min("_first_byte").alias("_from"), F.max(F.col("_first_byte") + F.col("size")).alias("_to"), F.first("_total").alias("_total"))
+    over = extent.where((shard_at(F.col("_from")) < shard_at(F.col("_to") - 1)) & ((F.col("_to") - F.col("_from")) * shards <= F.col("_total") * LOOSE))
+    whole_groups = over.select("_group", shard_at((F.col("_from") + F.col("_to")) / 2).alias("_home"))  # fewer than there are cuts
+    cut = cut.join(F.broadcast(whole_groups), F.col(order[0]) == F.col("_group"), "left").withColumn("shard", F.coalesce("_home", shard_at(F.col("_first_byte") + F.shiftright("size", 1))))
     firsts = cut.groupBy("shard").agg(F.min("_rank").alias("_first")).withColumnRenamed("shard", "_shard")
     return (
         cut.join(F.broadcast(firsts), F.col("shard") == F.col("_shard"))  # as many rows as shards

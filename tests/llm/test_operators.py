@@ -109,12 +109,37 @@ def test_shards(spark):
             n[r.shard] += 1
         slots = {s: sorted(r.slot for r in got if r.shard == s) for s in n}
         assert all(v == list(range(n[s])) for s, v in slots.items()) and len(got) == docs.count()
+        homes, group = {}, Counter()
+        for r in got:
+            homes.setdefault(r.text_crc32, set()).add(r.shard)
+            group[r.text_crc32] += r.size
+        assert all(len(x) == 1 for k, x in homes.items() if group[k] * 24 <= sharding.LOOSE * sum(size.values()))
         most = max(r.size for r in got)
         assert all(abs(size[s] - sum(size.values()) / 24) <= 2 * most for s in range(24))
         assert {(r.doc_id, r.size, r.text_crc32) for r in got} == {(k, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for k, t in texts}
     assert sharding.shard_report(table(spark, [])).count() == 0
 
 
+def test_groups_of_equal_texts_stay_whole_unless_they_are_large(spark):
+    rng = random.Random(2)
+    rows = [(i, f"group {i % 60} " + "x" * (i % 60)) for i in range(3000)]
+    got = sharding.shard_report(table(spark, rows)).collect()
+    homes, size = {}, Counter()
+    for r in got:
+        homes.setdefault(r.text_crc32, set()).add(r.shard)
+        size[r.shard] += r.size
+    target = sum(size.values()) / 24
+    assert any(len(x) > 1 for x in homes.values())  # these groups are larger than a shard may be off
+    rows = [(i, f"text {i // 3} " + "y" * rng.randrange(9)) for i in range(6000)] + [(10_000 + i, "hot") for i in range(3000)]
+    got = sharding.shard_report(table(spark, rows)).collect()
+    homes, size = {}, Counter()
+    for r in got:
+        homes.setdefault(r.text_crc32, set()).add(r.shard)
+        size[r.shard] += r.size
+    target = sum(size.values()) / 24
+    assert sum(len(x) > 1 for x in homes.values()) == 1 and all(abs(size[s] - target) <= sharding.LOOSE * target + 30 for s in range(24))
+
+
 def test_suffix_tree(spark):
     docs = documents(spark).select("doc_id", "text").union(table(spark, [(k and k + 10**6, t) for k, t in ODD]).select("doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -137,8 +162,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    rows = ODD + [(r.doc_id + 1000, r.text) for r in documents(spark).limit(60).collect()]
+    rows = ODD + [(500, "<|endoftext|> hi"), (501, "a<|endoftext|><|endoftext|>\n b"), (502, "<|endoftext"), (503, "")] + [(r.doc_id + 1000, r.text) for r in documents(spark).limit(60).collect()]
     got = packing.packing_report(table(spark, rows)).collect()
     texts, place = dict(rows), {}
     pieces = {}
@@ -164,6 +188,18 @@ def test_packing(spark):
     assert packing.packing_report(table(spark, [])).count() == 0
 
 
+def test_tokens_equal_the_plain_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own, rng = Tokenizer.from_file(path), packing.encoder(path), random.Random(9)
+    signs = ["a", "B", "é", "ß", "ж", "中", "1", "½", "_", "'s", "'", " ", "  ", "\n", "\t", "\x1f", "\u00a0", "\u200b", "…", "😀", "<|endoftext|>", "<|", ".", "!!", "ſ", "\x85", "İ", "ª", "٣"]
+    for _ in range(3000):
+        t = "".join(rng.choice(signs) for _ in range(rng.randrange(14)))
+        assert own(t) == b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids), t
+
+
 @pytest.mark.parametrize("lengths", [[600] * 50 + [500] * 40 + [300] * 10, [1024, 1024, 1], [7] * 1000, [], [random.Random(1).randrange(1, 1025) for _ in range(400)]])
 def test_plans_hold_every_piece_once(lengths):
     counts = Counter(lengths)
