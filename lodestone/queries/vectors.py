@@ -57,10 +57,10 @@ def prototype_similarity(v):
     return sim.prototype_map(t, t.where("label = 3"))
 
 
-@query(f"WITH {VEC}, d AS (SELECT e.id, {cos('e.v', 'c.v')} AS c FROM e, e c WHERE c.label = 3 AND c.id < 200), r AS (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY c DESC) AS k FROM d) SELECT id, round(avg(c), 6) AS score FROM r WHERE k <= 3 GROUP BY id")
+@query(f"WITH {VEC}, d AS (SELECT e.id, {cos('e.v', 'c.v')} AS c FROM e, e c WHERE c.label = 3), r AS (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY c DESC) AS k FROM d) SELECT id, round(avg(c), 6) AS score FROM r WHERE k <= 3 GROUP BY id")
 def maxtoken_similarity(v):
     t = tokens(v)
-    return sim.max_token_map(t, t.where("label = 3 AND id < 200"))
+    return sim.max_token_map(t, t.where("label = 3"))
 
 
 @query(f"WITH {VEC} SELECT e.id, round(max(({cos('e.v', 'q.v')} + 0.01 * (e.id % 7)) * (1.0 + 0.1 * (e.id % 5))), 6) AS score FROM e, e q WHERE q.id < 4 GROUP BY e.id")
@@ -130,9 +130,9 @@ def hough_votes_single(v):
 
 @query("""WITH p AS (SELECT a.image_id, a.vid AS vid_a, b.vid AS vid_b, b.crop_x - a.crop_x AS ux, b.crop_y - a.crop_y AS uy, b.scene_x - a.scene_x AS vx, b.scene_y - a.scene_y AS vy, a.scene_x, a.scene_y, 20 - a.crop_x AS ox, 15 - a.crop_y AS oy FROM votes a JOIN votes b ON a.image_id = b.image_id AND a.vid < b.vid),
 q AS (SELECT *, (vx * ux + vy * uy) / (ux * ux + uy * uy) AS p, (vy * ux - vx * uy) / (ux * ux + uy * uy) AS q FROM p WHERE ux * ux + uy * uy > 0 AND (vx <> 0 OR vy <> 0))
-SELECT image_id, vid_a, vid_b, round(scene_x + p * ox - q * oy, 6) AS dx, round(scene_y + q * ox + p * oy, 6) AS dy, round(log2(p * p + q * q) / 2, 6) AS log_scale FROM q""")
+SELECT image_id, vid_a, vid_b, round(scene_x + p * ox - q * oy, 6) AS dx, round(scene_y + q * ox + p * oy, 6) AS dy, round(log2(p * p + q * q) / 2, 6) AS log_scale, round((degrees(atan2(q, p)) + 360) % 360, 6) AS theta_deg FROM q""")
 def hough_votes_pairwise(v):
-    return hough.pairwise_votes(v.votes, 20.0, 15.0).drop("theta_deg")
+    return hough.pairwise_votes(v.votes, 20.0, 15.0)
 
 
 HIST = """b AS (SELECT image_id, vid, round((20 + scene_x - crop_x) / 10.0 - 0.5, 9) AS bx, round((15 + scene_y - crop_y) / 10.0 - 0.5, 9) AS byy, round(-0.5, 9) AS bs, round(-0.5, 9) AS bt FROM votes), o AS (SELECT unnest([0, 1]) AS k),
@@ -149,12 +149,12 @@ def hough_histogram(v):
 
 @query()
 def hough_peaks(v):
-    return hough.peaks(hough.histogram(hough.translation_votes(v.all_votes, 20.0, 15.0), 40.0), 0.5)
+    return hough.peaks(hough.histogram(hough.translation_votes(v.votes, 20.0, 15.0), 40.0), 0.5)
 
 
 @query()
 def ransac_instances(v):
-    return hough.ransac(v.all_votes, least=3)
+    return hough.ransac(v.votes, least=3)
 
 
 @query("SELECT vid, image_id, CASE WHEN (vid % 5 - 2) * 1.0 < 0 THEN 'mirrored' WHEN sqrt(abs((vid % 5 - 2) * 1.0)) < 0.2 THEN 'scale' END AS fault FROM votes")
@@ -296,10 +296,10 @@ def seeded_batches(v):
     return training.batches(v.vectors.withColumn("o", splits.seeded("vec_id", 3)), 8, F.struct("o", "vec_id"), ["label"]).select("label", "vec_id", "batch")
 
 
-@query("""WITH c AS (SELECT CAST(k AS BIGINT) AS cell, (k % 8 + 0.5) * 32 AS px, (floor(k / 8) + 0.5) * 32 AS py FROM (SELECT unnest(range(0, 64)) AS k)), i AS (SELECT DISTINCT image_id FROM gt_boxes WHERE image_id < 300)
+@query("""WITH c AS (SELECT CAST(k AS BIGINT) AS cell, (k % 8 + 0.5) * 32 AS px, (floor(k / 8) + 0.5) * 32 AS py FROM (SELECT unnest(range(0, 64)) AS k)), i AS (SELECT DISTINCT image_id FROM gt_boxes)
 SELECT image_id, cell FROM i, c WHERE NOT EXISTS (SELECT 1 FROM gt_boxes b WHERE b.image_id = i.image_id AND px BETWEEN b.x AND b.x + b.w AND py BETWEEN b.y AND b.y + b.h)""")
 def background_cells(v):
-    return training.background_cells(v.spark, v.gt_boxes.where("image_id < 300"), 8, 256.0)
+    return training.background_cells(v.spark, v.gt_boxes, 8, 256.0)
 
 
 @query("SELECT vec_id, round(-(CASE WHEN label < 5 THEN 0.25 ELSE 0.75 END) * pow(1 - q, 2) * ln(greatest(q, 1e-12)), 6) AS loss FROM (SELECT vec_id, label, CASE WHEN label < 5 THEN 1 / (1 + exp(-x)) ELSE 1 - 1 / (1 + exp(-x)) END AS q FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x FROM vectors))")

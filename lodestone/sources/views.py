@@ -51,15 +51,13 @@ VIEWS = {
         SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS vid,
           CAST(l_partkey % 50 AS DOUBLE) AS crop_x, CAST(l_suppkey % 40 AS DOUBLE) AS crop_y, CAST(l_partkey % 50 + 100 + l_linenumber AS DOUBLE) AS scene_x, CAST(l_suppkey % 40 + 80 + l_linenumber AS DOUBLE) AS scene_y,
           1.0 + CAST(l_partkey % 3 AS DOUBLE) AS crop_scale, 1.0 + CAST(l_suppkey % 4 AS DOUBLE) AS scene_scale, CAST(l_partkey % 360 AS DOUBLE) AS crop_angle, CAST(l_suppkey % 360 AS DOUBLE) AS scene_angle
-        FROM {lineitem} WHERE l_orderkey < 2000""",
+        FROM {lineitem}""",
     "annotations": """
         SELECT p_partkey AS ann_id, p_partkey % 60 AS image_id, p_size % 6 AS category_id, CAST(p_partkey * 11 % 600 AS DOUBLE) + 0.25 AS x, CAST(p_partkey * 5 % 400 AS DOUBLE) + 0.5 AS y,
           CAST(p_size % 13 AS DOUBLE) * 9 AS w, CAST(p_partkey % 11 AS DOUBLE) * 8.5 AS h FROM {part}""",
     "categories": "SELECT n_nationkey AS category_id, n_name AS name FROM {nation} WHERE n_nationkey < 5",
     "coco_images": "SELECT CAST(s_suppkey AS BIGINT) AS image_id, CAST(600 + s_suppkey % 7 * 10 AS INT) AS width, CAST(400 + s_suppkey % 5 * 10 AS INT) AS height FROM {supplier}",
 }
-#: votes of the whole table, for queries that no SQL is held against.
-VIEWS["all_votes"] = VIEWS["votes"].replace(" WHERE l_orderkey < 2000", "")
 
 
 def needed(sql: str) -> list[str]:
