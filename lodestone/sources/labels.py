@@ -110,3 +110,10 @@ def image_catalogue(spark: SparkSession, path: str, labels: DataFrame | None = N
         return files.withColumn("has_ground_truth", F.lit(False)).orderBy("image_id")
     own = labels.select("image_id", F.lit(True).alias("_l")).distinct()
     return files.join(own, "image_id", "left").withColumn("has_ground_truth", F.coalesce("_l", F.lit(False))).drop("_l").orderBy("image_id")
+
+
+def run_results(spark: SparkSession, path: str) -> DataFrame:
+    """(method, then the fields of its per-image results) of results files: `methods` maps names to objects with a list `per_image`."""
+    row = "image_id string, outcome string, canvas_size string, instance_count bigint, scale_bucket string, tp bigint, fp bigint, fn bigint, precision double, recall double, f1 double, ap double, latency_ms double, n_matches bigint"
+    raw = spark.read.schema(f"methods map<string, struct<per_image: array<struct<{', '.join(x.replace(' ', ': ', 1) for x in row.split(', ')) }>>>>").option("multiLine", True).json(path)
+    return raw.select(F.explode("methods").alias("method", "m")).select("method", F.explode("m.per_image").alias("r")).select("method", "r.*")
