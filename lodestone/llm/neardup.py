@@ -323,4 +323,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return mine.drop("_text_key").union(docs.where(~full))
 
 
+NEAR_DUPLICATES_SQL = f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END AS members FROM t),
+n AS (SELECT doc_id, len(members) AS n FROM s), m AS (SELECT doc_id, unnest(members) AS member FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS held FROM m a JOIN m b ON a.member = b.member AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {SIMILAR[1]} * held >= {SIMILAR[0]} * (x.n + y.n - held)),
+ends AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b),
+least_of AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN least_of ON a = doc_id"""
+
+
 ship(__name__)

@@ -49,4 +49,4 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_media_columns, op2_imatch_fingerprints, op3_language_id, op4_minhash_near_dedup, op5_source_mixing, op6_byte_sharding, op7_suffix_tree_lm, op8_best_fit_packing, op9_quality_knn, op10_counterfactual_toxicity)}
-ORACLES = {"op5_source_mixing": mixing.MIX_REPORT_SQL}
+ORACLES = {"op4_minhash_near_dedup": neardup.NEAR_DUPLICATES_SQL, "op5_source_mixing": mixing.MIX_REPORT_SQL, "op6_byte_sharding": sharding.SHARD_SQL}
