@@ -70,26 +70,31 @@ def kept_rows(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(cells: DataFrame, cut: float) -> DataFrame:
-    """8-connected components of cells at or above the cut: label (its least cell), box, area, largest value.
+def regions(cells: DataFrame, group: list[str], corners: bool = True) -> DataFrame:
+    """Adds `label` to cells (group, y, x, v): the least cell, as y * 2^32 + x, of its connected region within its group.
 
-    Labels spread to neighbours by equi-joins on the eight shifted cells and jump to their label's own label, until none changes.
+    Labels spread to neighbours by equi-joins on the shifted cells and jump to their label's own label, until none changes.
     """
     spark = cells.sparkSession
-    labels = cells.where(F.col("v") >= cut).select("y", "x", "v", (F.col("y") * 100_000 + F.col("x")).cast("bigint").alias("label"))
-    labels = kept_rows(labels)
-    near = spark.createDataFrame([(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], "dy int, dx int")
+    own = (F.shiftleft(F.col("y").cast("bigint"), 32) + F.col("x")).cast("bigint")
+    labels = kept_rows(cells.select(*group, "y", "x", "v", own.alias("label")))
+    near = spark.createDataFrame([(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if corners or not dy or not dx], "dy int, dx int")
     while True:  # labels only fall
-        spread = labels.join(F.broadcast(near)).select((F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "label").groupBy("y", "x").agg(F.min("label").alias("near"))
-        step = labels.join(spread, ["y", "x"]).select("y", "x", "v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select((F.col("y") * 100_000 + F.col("x")).cast("bigint").alias("label"), F.col("label").alias("further"))
+        spread = labels.join(F.broadcast(near)).select(*group, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "label").groupBy(*group, "y", "x").agg(F.min("label").alias("near"))
+        step = labels.join(spread, [*group, "y", "x"]).select(*group, "y", "x", "v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        jump = labels.select(*group, own.alias("label"), F.col("label").alias("further"))
         for _ in range(2):
-            step = step.join(jump, "label").select("y", "x", "v", "was", F.least("label", "further").alias("label"))
+            step = step.join(jump, [*group, "label"]).select(*group, "y", "x", "v", "was", F.least("label", "further").alias("label"))
         new = kept_rows(step)
         labels = new.drop("was")
         if new.where("label < was").isEmpty():
-            break
-    return labels.groupBy("label").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.count("*").alias("area"), F.max("v").alias("top"))
+            return labels
+
+
+def components(cells: DataFrame, cut: float) -> DataFrame:
+    """8-connected components of cells at or above the cut: label (its least cell, y * 100,000 + x), box, area, largest value."""
+    found = regions(cells.where(F.col("v") >= cut), []).groupBy("label").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.count("*").alias("area"), F.max("v").alias("top"))
+    return found.withColumn("label", F.shiftright("label", 32) * 100_000 + F.col("label").bitwiseAND((1 << 32) - 1))
 
 
 def ncc(scene: np.ndarray, template: np.ndarray) -> np.ndarray:

@@ -57,17 +57,31 @@ def average_precision(preds: DataFrame, truths: DataFrame, threshold: float = 0.
     return truths.select("image_id").distinct().join(area, "image_id", "left").select("image_id", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
+def taken_at(preds: Column, threshold: Column) -> Column:
+    """Per prediction in order, whether it takes a truth: the first one free of its candidates, which stand by falling overlap."""
+
+    def step(taken: Column, p: Column) -> Column:
+        free = F.filter(p["near"], lambda g: (g["o"] <= -threshold) & ~F.array_contains(taken, g["id"]))
+        return F.concat(taken, F.array(F.coalesce(F.get(free, 0)["id"], F.lit(-1).cast("bigint"))))
+
+    return F.transform(F.aggregate(preds, F.array().cast("array<bigint>"), step), lambda g: (g >= 0).cast("bigint"))
+
+
 def coco_ap(preds: DataFrame, truths: DataFrame) -> DataFrame:
-    """Mean AP over IoU 0.50 to 0.95 in steps of 0.05, with AP50 and AP75. All thresholds go through one plan."""
+    """Mean AP over IoU 0.50 to 0.95 in steps of 0.05, with AP50 and AP75. Overlaps are computed once for a pair; all thresholds go through one plan."""
     grid = F.explode(F.transform(F.sequence(F.lit(50), F.lit(95), F.lit(5)), lambda t: t / 100.0))
-    images = folds.per_image(preds, truths).where(F.size("truths") > 0).withColumn("t", grid)
-    m = images.withColumn("taken", folds.match_flags(F.col("preds"), F.col("truths"), F.col("t")))
-    hits = F.transform("taken", lambda i: (i >= 0).cast("bigint"))
-    each = m.select("image_id", "t", F.size("truths").alias("n"), F.posexplode_outer(hits).alias("k", "hit"))
-    order = W.partitionBy("image_id", "t").orderBy("k")
-    each = each.withColumn("tp", F.sum("hit").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("p", F.col("tp") / (F.col("k") + 1))
-    each = each.withColumn("envelope", F.max("p").over(order.rowsBetween(0, W.unboundedFollowing)))
-    ap = each.groupBy("image_id", "t").agg(F.coalesce(F.sum(F.col("hit") * F.col("envelope") / F.col("n")), F.lit(0.0)).alias("ap"))
+    g = truths.select("image_id", F.col("gid").cast("bigint").alias("gid"), F.struct("x", "y", "w", "h").alias("g"))
+    p = preds.select("image_id", "pid", "score", "y", "x", F.struct("x", "y", "w", "h").alias("p"))
+    overlap = iou(F.col("p"), F.col("g"))
+    candidate = F.when(overlap >= 0.5, F.struct((-overlap).alias("o"), F.col("gid").alias("id")))  # collect_list leaves nulls out
+    near = p.join(g, "image_id").groupBy("image_id", "pid", "score", "y", "x").agg(F.sort_array(F.collect_list(candidate)).alias("near"))
+    n = truths.groupBy("image_id").agg(F.count("*").alias("n"))
+    images = n.join(near.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "y", "x", "pid", "near"))).alias("preds")), "image_id", "left")
+    taken = F.coalesce(taken_at(F.col("preds"), F.col("t")), F.array().cast("array<bigint>"))
+    ranks = F.filter(F.transform(taken, lambda hit, k: F.when(hit == 1, k + 1)), lambda k: k.isNotNull())
+    precisions = F.reverse(F.transform(F.col("ranks"), lambda rank, i: (i + 1) / rank))  # the envelope falls on hits alone
+    area = F.aggregate(precisions, F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("sum")), lambda a, p: F.struct(F.greatest(a["top"], p).alias("top"), (a["sum"] + F.greatest(a["top"], p) / F.col("n")).alias("sum")), lambda a: a["sum"])
+    ap = images.withColumn("t", grid).withColumn("ranks", ranks).select("image_id", "t", area.alias("ap"))
     return ap.groupBy("image_id").agg(F.avg("ap").alias("ap"), F.max(F.when(F.col("t") == 0.5, F.col("ap"))).alias("ap50"), F.max(F.when(F.col("t") == 0.75, F.col("ap"))).alias("ap75"))
 
 

@@ -107,6 +107,18 @@ def model_fault(m: Column, low: float = 0.2, high: float = 5.0) -> Column:
     return F.when(det < 0, "mirrored").when((scale < low) | (scale > high), "scale")
 
 
+def similarity_matrix() -> Column:
+    """The 2 x 3 matrix of a row of `ransac`."""
+    turn = F.when(F.col("mirrored"), -1.0).otherwise(1.0)
+    return F.array("a", -turn * F.col("b"), "tx", "b", turn * F.col("a"), "ty")
+
+
+def verdict(m: Column, inliers: Column, boxed: Column, least: int) -> Column:
+    """What a peak's fit is: an instance with enough inliers, a sound model and a box in the image; a candidate with a box alone; else null."""
+    sound = model_fault(m).isNull() & (inliers >= least)
+    return F.when(boxed.isNotNull(), F.when(sound, "instance").otherwise("candidate"))
+
+
 def of_peaks(c: DataFrame, hist: DataFrame, found: DataFrame) -> DataFrame:
     """The correspondences that voted for each peak, with its number in the image, the heaviest first."""
     bins = ["bx", "by", "bs", "bt"]
@@ -118,6 +130,8 @@ def of_peaks(c: DataFrame, hist: DataFrame, found: DataFrame) -> DataFrame:
 def ransac(c: DataFrame, pixels: float = 3.0, tries: int = 200, least: int = 5, seed: int = 7) -> DataFrame:
     """Similarities by seeded two-point samples, one after the other: fit, take its inliers out, repeat. A row for each instance of an image.
 
+    Each sample gives a proper and a mirrored similarity; the mirrored one is the map of conjugates and wins only with more inliers.
+
     If c has a column `peak`, one fit to the correspondences of each peak instead, whose number is the instance's.
     """
     by_peak = ["peak"] if "peak" in c.columns else []
@@ -137,14 +151,19 @@ def ransac(c: DataFrame, pixels: float = 3.0, tries: int = 200, least: int = 5,
             i, j = i[ok], j[ok]
             if not len(i):
                 break
-            p = (w[j] - w[i]) / (z[j] - z[i])
-            shift = w[i] - p * z[i]
-            near = np.abs(p[:, None] * z[left] + shift[:, None] - w[left]) < pixels
-            best = int(near.sum(1).argmax())
-            if near[best].sum() < least:
+            found = None
+            for mirrored, source in ((False, z), (True, z.conj())):
+                p = (w[j] - w[i]) / (source[j] - source[i])
+                shift = w[i] - p * source[i]
+                near = np.abs(p[:, None] * source[left] + shift[:, None] - w[left]) < pixels
+                best = int(near.sum(1).argmax())
+                if found is None or near[best].sum() > found[0].sum():
+                    found = near[best], p[best], shift[best], mirrored
+            near, p, shift, mirrored = found
+            if near.sum() < least:
                 break
-            out.append((image, k, int(near[best].sum()), float(p[best].real), float(p[best].imag), float(shift[best].real), float(shift[best].imag)))
-            left = left[~near[best]]
-        return pd.DataFrame(out, columns=["image_id", "instance", "inliers", "a", "b", "tx", "ty"])
+            out.append((image, k, int(near.sum()), float(p.real), float(p.imag), float(shift.real), float(shift.imag), mirrored))
+            left = left[~near]
+        return pd.DataFrame(out, columns=["image_id", "instance", "inliers", "a", "b", "tx", "ty", "mirrored"])
 
-    return c.select("image_id", *by_peak, "vid", "crop_x", "crop_y", "scene_x", "scene_y").groupBy("image_id", *by_peak).applyInPandas(run, "image_id bigint, instance int, inliers int, a double, b double, tx double, ty double")
+    return c.select("image_id", *by_peak, "vid", "crop_x", "crop_y", "scene_x", "scene_y").groupBy("image_id", *by_peak).applyInPandas(run, "image_id bigint, instance int, inliers int, a double, b double, tx double, ty double, mirrored boolean")

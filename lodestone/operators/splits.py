@@ -77,6 +77,31 @@ def ordered_union(parts: list[DataFrame], key: str) -> DataFrame:
     return everything.groupBy(key).agg(F.min("part").alias("part"))
 
 
+STRATEGIES = ("native", "seeded-carve", "test-only")
+
+
+def by_strategy(rows: DataFrame, strategies: dict[str, str], share: float, seed: int) -> DataFrame:
+    """(dataset, image_id, split) by each dataset's strategy: its own splits; val carved from its training ids in seeded order; or test alone.
+
+    A dataset without a strategy is carved. Test ids don't depend on the seed. The carve ranks within (dataset, prefix of the hash).
+    """
+    unknown = set(strategies.values()) - set(STRATEGIES)
+    if unknown:
+        raise ValueError(f"unknown strategies: {', '.join(sorted(unknown))}")
+    strategy = F.lit("seeded-carve")
+    for name, s in strategies.items():
+        strategy = F.when(F.col("dataset") == name, s).otherwise(strategy)
+    kept = rows.select("dataset", "image_id", "split", strategy.alias("_s")).distinct()
+    own = kept.where((F.col("split") == "test") | (F.col("_s") == "native")).select("dataset", "image_id", "split")
+    keyed = kept.where("_s = 'seeded-carve' AND split = 'train'").withColumn("_o", seeded("image_id", seed)).withColumn("_p", F.substring("_o", 1, 2))
+    totals = keyed.groupBy("dataset", "_p").count()
+    whole = W.partitionBy("dataset")
+    before = totals.select("dataset", "_p", (F.sum("count").over(whole.orderBy("_p")) - F.col("count")).alias("_before"), F.sum("count").over(whole).alias("_n"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("dataset", "_p").orderBy("_o", "image_id"))
+    carved = keyed.join(before, ["dataset", "_p"]).select("dataset", "image_id", F.when(place <= F.bround(F.col("_n") * share), "val").otherwise("train").alias("split"))
+    return own.unionByName(carved)
+
+
 def split_manifest(rows: DataFrame) -> DataFrame:
     """One row for each split: its ids, sorted."""
     return rows.groupBy("split").agg(F.sort_array(F.collect_set("image_id")).alias("ids"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.rates import ratio, wilson
@@ -57,6 +58,13 @@ def scoreboard(runs: DataFrame, ratings: DataFrame, verdicts: DataFrame, confide
     )
 
 
+def sweep_ranks(board: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Each method's place on the scoreboard (unrated ones last) and its rows whose false positives come from verdicts, which alone a threshold sweep can use."""
+    eligible = metrics.groupBy("method").agg(F.count_if(F.col("fp_source") == "per_match").alias("sweep_eligible"), F.count("*").alias("_n"))
+    place = F.row_number().over(W.orderBy(F.coalesce("low", F.lit(-1.0)).desc(), "method"))  # a row for each method
+    return board.join(eligible, "method").select("method", place.alias("rank"), "sweep_eligible", (F.col("_n") - F.col("sweep_eligible")).alias("sweep_excluded"))
+
+
 def completeness(wrong_known: Column, missed_known: Column) -> Column:
     return F.when(wrong_known & missed_known, "complete").when(wrong_known, "precision_only").when(missed_known, "recall_only").otherwise("none")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions.geometry import giou
 from lodestone.functions.vectors import cosine, dot, unit
 
 
@@ -24,6 +25,16 @@ def cosine_gap(rows: DataFrame, batch: str) -> DataFrame:
     return pair_cosines(rows, batch).groupBy(batch).agg(within.alias("same"), between.alias("different"), (within - between).alias("gap"))
 
 
+def background_mean(anchors: DataFrame, background: DataFrame, batch: str) -> DataFrame:
+    """Mean cosine of each batch's anchors with its background rows, null where either is empty.
+
+    The mean of all products is the product of the means, so that no pairs are made.
+    """
+    mean = lambda df, name: df.select(batch, F.posexplode(unit(F.col("v"))).alias("i", "x")).groupBy(batch, "i").agg(F.avg("x").alias(name))
+    both = mean(anchors, "_a").join(mean(background, "_b"), [batch, "i"]).groupBy(batch).agg(F.sum(F.col("_a") * F.col("_b")).alias("background"))
+    return anchors.select(batch).union(background.select(batch)).distinct().join(both, batch, "left")
+
+
 def agreement(crops: DataFrame, scenes: DataFrame) -> DataFrame:
     """Mean, least and largest cosine of aligned rows (id, v)."""
     j = crops.join(scenes.select("id", F.col("v").alias("w")), "id").select(cosine(F.col("v"), F.col("w")).alias("c"))
@@ -63,6 +74,12 @@ def background_cells(spark: SparkSession, boxes: DataFrame, grid: int, side: flo
     return images.join(b, inside, "left_anti").select("image_id", "cell")
 
 
+def sampled_cells(cells: DataFrame, count: int, seed: int) -> DataFrame:
+    """Up to `count` of each image's background cells in a seeded order; fewer are a prefix of more."""
+    key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("image_id").cast("string"), F.col("cell").cast("string")))
+    return cells.withColumn("_k", F.row_number().over(W.partitionBy("image_id").orderBy(key, "cell"))).where(F.col("_k") <= count).drop("_k")
+
+
 def focal_loss(logit: Column, target: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:
     p = 1 / (1 + F.exp(-logit))
     right = F.when(target == 1, p).otherwise(1 - p)
@@ -112,6 +129,40 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def cheapest(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of a cheapest one-to-one assignment of the shorter side."""
+    if cost.shape[0] <= cost.shape[1]:
+        return np.arange(cost.shape[0]), assignment(cost)
+    return assignment(cost.T), np.arange(cost.shape[1])
+
+
+def detection_costs(preds: DataFrame, truths: DataFrame, by_class: float = 1.0, by_corner: float = 5.0, by_giou: float = 2.0) -> DataFrame:
+    """(image_id, gid, pid, cost) of all pairs of an image: boxes (cx, cy, w, h) by summed distance, the truth's class by -sigmoid of its logit, overlap by -GIoU.
+
+    preds hold `logits`, an array with one for each class; truths hold `label`, its index.
+    """
+    sides = ("cx", "cy", "w", "h")
+    p = preds.select("image_id", "pid", "logits", F.struct(*sides).alias("p"))
+    g = truths.select("image_id", "gid", "label", F.struct(*sides).alias("g"))
+    edges = lambda b: F.struct((b["cx"] - b["w"] / 2).alias("x"), (b["cy"] - b["h"] / 2).alias("y"), b["w"].alias("w"), b["h"].alias("h"))
+    a, b = F.col("p"), F.col("g")
+    far = sum((F.abs(a[s] - b[s]) for s in sides[1:]), F.abs(a["cx"] - b["cx"]))
+    likely = 1 / (1 + F.exp(-F.get("logits", F.col("label")).cast("double")))
+    return p.join(g, "image_id").select("image_id", "gid", "pid", (by_corner * far - by_class * likely - by_giou * giou(edges(a), edges(b))).alias("cost"))
+
+
+def cheapest_pairs(costs: DataFrame) -> DataFrame:
+    """The pairs of each image's cheapest assignment from all its costs (image_id, gid, pid, cost)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.pivot(index="gid", columns="pid", values="cost")
+        cost = table.to_numpy()
+        rows, cols = cheapest(cost)
+        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "gid": table.index.to_numpy()[rows], "pid": table.columns.to_numpy()[cols], "cost": cost[rows, cols]})
+
+    return costs.groupBy("image_id").applyInPandas(run, "image_id bigint, gid bigint, pid bigint, cost double")
+
+
 def optimal_match(preds: DataFrame, truths: DataFrame) -> DataFrame:
     """Each truth's prediction in the cheapest assignment of its image, by summed corner distance."""
 
@@ -121,10 +172,7 @@ def optimal_match(preds: DataFrame, truths: DataFrame) -> DataFrame:
             return pd.DataFrame(columns=["image_id", "gid", "pid", "cost"])
         a, b = (x[["x", "y", "w", "h"]].to_numpy(float) for x in (g, p))
         cost = np.abs(a[:, None] - b[None]).sum(2)
-        if len(g) <= len(p):
-            rows, cols = np.arange(len(g)), assignment(cost)
-        else:
-            cols, rows = np.arange(len(p)), assignment(cost.T)
+        rows, cols = cheapest(cost)
         return pd.DataFrame({"image_id": key[0], "gid": g.gid.to_numpy()[rows], "pid": p.pid.to_numpy()[cols], "cost": cost[rows, cols]})
 
     return preds.groupBy("image_id").cogroup(truths.groupBy("image_id")).applyInPandas(run, "image_id bigint, gid bigint, pid bigint, cost double")

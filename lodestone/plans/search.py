@@ -58,13 +58,21 @@ class SparseGeometry:
     width: int = 100_000
     height: int = 100_000
     decomposition: str = "hough"
-    voting: str = "single-4dof"
+    keypoints: str = "sift"
+    voting: str | None = None  # single-4dof, but translation-2dof for keypoints without scale and angle
     min_votes: float = 2.0
     pairwise_cap: int = 20_000
 
     def __post_init__(self):
         if self.decomposition not in ("hough", "sequential-ransac"):
             raise InvalidConfig([("decomposition", "must be hough or sequential-ransac")])
+        if self.keypoints not in ("sift", "superpoint"):
+            raise InvalidConfig([("keypoints", "must be sift or superpoint")])
+        bare = self.keypoints == "superpoint"
+        if self.voting is None:
+            object.__setattr__(self, "voting", "translation-2dof" if bare else "single-4dof")
+        if bare and self.voting == "single-4dof":
+            raise InvalidConfig([("voting", "superpoint has no scale and angle for single-4dof")])
         if self.voting not in ("single-4dof", "translation-2dof", "pairwise-4dof"):
             raise InvalidConfig([("voting", "must be single-4dof, translation-2dof or pairwise-4dof")])
 
@@ -83,8 +91,9 @@ def sparse_geo(correspondences: DataFrame, config: SparseGeometry) -> DataFrame:
             hist = hough.histogram(votes, max(config.crop_w, config.crop_h))
         c = hough.of_peaks(c, hist, hough.peaks(hist, config.min_votes))
     models = hough.ransac(c, config.pixels, least=config.inliers)
-    m = F.array("a", -F.col("b"), "tx", "b", "a", "ty")
-    boxes = models.where(hough.model_fault(m).isNull()).withColumn("box", affine_hull(m, F.lit(config.crop_w), F.lit(config.crop_h), F.lit(config.width), F.lit(config.height))).where("box IS NOT NULL")
+    m = hough.similarity_matrix()
+    fitted = models.withColumn("box", affine_hull(m, F.lit(config.crop_w), F.lit(config.crop_h), F.lit(config.width), F.lit(config.height)))
+    boxes = fitted.where(hough.verdict(m, F.col("inliers"), F.col("box"), config.inliers) == "instance")
     return numbered(folds.nms(boxes.select("image_id", F.col("instance").cast("bigint").alias("pid"), "box.*", F.col("inliers").cast("double").alias("score")), ["image_id"], config.nms_iou))
 
 
@@ -112,6 +121,11 @@ def one_shot(patches: DataFrame, exemplar: DataFrame, config: Retrieval) -> Data
 class Tokens:
     cut: float = 0.5
     neighbours: int = 3
+    side: int | None = None  # of the square that scenes are fitted into
+
+    def __post_init__(self):
+        if self.side is not None and (self.side <= 0 or self.side % 14):
+            raise InvalidConfig([("side", "must be a multiple of 14")])
 
 
 @register("dino-dense", "connected components of the token likeness map", "1", Tokens)

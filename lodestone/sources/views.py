@@ -46,6 +46,9 @@ VIEWS = {
     "vectors": "SELECT vec_id, embedding, label FROM {embeddings}",
     "response_map": """
         SELECT y, x, CAST(v AS DOUBLE) / 100 AS v FROM (SELECT CAST(extract(day FROM ts) AS INT) AS y, CAST(extract(hour FROM ts) AS INT) AS x, CAST(floor(sum(CAST(floor(value * 100) AS BIGINT)) / count(*)) AS BIGINT) AS v FROM {events} GROUP BY 1, 2) AS cells""",
+    "peak_maps": """
+        SELECT i.image_id, g.y, g.x, CAST(coalesce(c.v, 0) AS DOUBLE) / 100 AS v FROM (SELECT y, x FROM response_map) g CROSS JOIN (SELECT DISTINCT user_id % 12 AS image_id FROM {events}) i
+          LEFT JOIN (SELECT user_id % 12 AS image_id, CAST(extract(day FROM ts) AS INT) AS y, CAST(extract(hour FROM ts) AS INT) AS x, CAST(floor(sum(CAST(floor(value * 100) AS BIGINT)) / count(*)) AS BIGINT) AS v FROM {events} GROUP BY 1, 2, 3) c ON c.image_id = i.image_id AND c.y = g.y AND c.x = g.x""",
     "split_ids": "SELECT doc_id AS image_id, text AS content, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM {documents} UNION ALL SELECT doc_id, text, 'test' FROM {documents} WHERE doc_id % 97 = 0 AND doc_id % 10 < 7",
     "votes": """
         SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS vid,
