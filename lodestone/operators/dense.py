@@ -186,3 +186,37 @@ def search_arrays(images: DataFrame, kernel: str = "ncc", scales: tuple = (0.75,
             yield pd.DataFrame(out, columns=["image_id", "pid", "x", "y", "w", "h", "score"])
 
     return images.mapInPandas(run, "image_id bigint, pid bigint, x int, y int, w int, h int, score double")
+
+
+def rescored(images: DataFrame, proposals: DataFrame, angles: tuple = (-35, -23.3, -11.7, 0, 11.7, 23.3, 35), margin: float = 0.15, least: int = 8) -> DataFrame:
+    """proposals (image_id, pid, x, y, w, h) with `score`, the best local correlation of the exemplar, brought to the proposal's size and turned, within the proposal and a margin; -1 where either is too small.
+
+    images are those of `search_arrays`; an image is one task's work.
+    """
+
+    def run(key: tuple, scenes: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in scenes.itertuples():
+            scene = np.asarray(r.pixels, float).reshape(r.height, r.width)
+            exemplar, banks = scene[r.ey : r.ey + r.eh, r.ex : r.ex + r.ew], {}
+            for b in boxes.itertuples():
+                mx, my = round(b.w * margin), round(b.h * margin)
+                place = scene[max(0, b.y - my) : b.y + b.h + my, max(0, b.x - mx) : b.x + b.w + mx]
+                score = -1.0
+                if min(b.w, b.h) >= least and place.shape[0] >= b.h and place.shape[1] >= b.w:
+                    if (b.w, b.h) not in banks:
+                        sized = stretched(exemplar, b.h, b.w)
+                        banks[b.w, b.h] = [rotated(sized, a) for a in angles]
+                    score = max(float(ncc(place, t).max()) for t in banks[b.w, b.h])
+                out.append((b.image_id, b.pid, b.x, b.y, b.w, b.h, score))
+        return pd.DataFrame(out, columns=["image_id", "pid", "x", "y", "w", "h", "score"])
+
+    return images.groupBy("image_id").cogroup(proposals.select("image_id", "pid", "x", "y", "w", "h").groupBy("image_id")).applyInPandas(run, "image_id bigint, pid bigint, x int, y int, w int, h int, score double")
+
+
+def stretched(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear resize to given sides."""
+    rows = [np.interp((np.arange(n) + 0.5) * side / n - 0.5, np.arange(side), np.arange(side)) for n, side in ((height, image.shape[0]), (width, image.shape[1]))]
+    (y0, x0), (y1, x1) = (np.floor(r).astype(int) for r in rows), (np.ceil(r).astype(int) for r in rows)
+    fy, fx = (rows[0] - y0)[:, None], (rows[1] - x0)[None, :]
+    return (image[y0][:, x0] * (1 - fx) + image[y0][:, x1] * fx) * (1 - fy) + (image[y1][:, x0] * (1 - fx) + image[y1][:, x1] * fx) * fy

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ def corner_lines(spark: SparkSession, path: str, fields: int) -> DataFrame:
     """Text labels, one box a line as `x1 y1 x2 y2` with more fields behind (5 with a class). Lines that don't convert or hold no area are left out."""
     raw = spark.read.text(path).select(file_stem().alias("image_id"), F.split(F.trim("value"), r"\s+").alias("p"), F.monotonically_increasing_id().alias("_line"))
     whole = raw.where((F.size("p") == fields) & F.forall("p", lambda s: s.try_cast("int").isNotNull()))
-    n = F.transform("p", lambda s: s.try_cast("int"))
+    n = [F.get(F.transform("p", lambda s: s.try_cast("int")), i) for i in range(4)]  # the planner may look at lines before it leaves them out
     c = whole.select("image_id", "_line", n[0].alias("x"), n[1].alias("y"), (n[2] - n[0]).alias("w"), (n[3] - n[1]).alias("h")).where("w >= 1 and h >= 1 and x >= 0 and y >= 0")
     return c.withColumn("gid", (F.row_number().over(W.partitionBy("image_id").orderBy("_line")) - 1).cast("bigint")).select("image_id", "gid", "x", "y", "w", "h")
 
@@ -65,18 +67,36 @@ def plain_lines(spark: SparkSession, path: str) -> DataFrame:
     return corner_lines(spark, path, 4)
 
 
-def coco(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """COCO annotations of one category, by its name, rounded to whole pixels, degenerate ones dropped."""
+def coco(spark: SparkSession, path: str, target: str | None) -> DataFrame:
+    """COCO annotations of one category, by its name (None: of all), rounded to whole pixels, degenerate ones dropped."""
     raw = spark.read.schema(COCO).option("multiLine", True).json(path)
-    kinds = raw.select(F.explode("categories").alias("c")).where(F.col("c.name") == target).select(F.col("c.id").alias("category_id"))
+    kinds = raw.select(F.explode("categories").alias("c")).where(F.lit(target is None) | F.col("c.name").eqNullSafe(F.lit(target))).select(F.col("c.id").alias("category_id"))
     images = raw.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image"), F.regexp_replace("i.file_name", r"\.[A-Za-z]+$", "").alias("image_id"), "i.width", "i.height")
     notes = raw.select(F.explode("annotations").alias("a")).select("a.id", F.col("a.image_id").alias("image"), "a.category_id", "a.bbox")
-    b = F.transform("bbox", lambda v: F.bround(v).cast("int"))
+    b = [F.get(F.transform("bbox", lambda v: F.bround(v).cast("int")), i) for i in range(4)]
     rows = notes.join(kinds, "category_id").join(images, "image").select("image_id", "id", b[0].alias("x"), b[1].alias("y"), b[2].alias("w"), b[3].alias("h"), "width", "height")
     kept = rows.where("w >= 1 and h >= 1 and x >= 0 and y >= 0")
     return kept.withColumn("gid", (F.row_number().over(W.partitionBy("image_id").orderBy("id")) - 1).cast("bigint")).select("image_id", "gid", "x", "y", "w", "h", "width", "height")
 
 
+def text_tree(spark: SparkSession, root: str, splits: dict[str, str]) -> DataFrame:
+    """(split, image_id, gid, x, y, w, h) of a tree `<part>/labels/<image>.txt`, whose parts map to our splits. An image with a line that doesn't convert or holds no area is left out whole."""
+    parts = []
+    for part, ours in splits.items():
+        path = f"{root}/{part}/labels"
+        p = F.transform(F.split(F.trim("value"), r"\s+"), lambda s: s.try_cast("int"))
+        lines = spark.read.text(path).where("trim(value) <> ''").select(file_stem().alias("image_id"), p.alias("n"))
+        sound = (F.size("n") == 4) & F.forall("n", lambda v: v.isNotNull()) & (F.get("n", 2) > F.get("n", 0)) & (F.get("n", 3) > F.get("n", 1))
+        bad = lines.where(~F.coalesce(sound, F.lit(False))).select("image_id").distinct()
+        parts.append(plain_lines(spark, path).join(bad, "image_id", "left_anti").select(F.lit(ours).alias("split"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def coco_tree(spark: SparkSession, files: dict[str, str], target: str | None = None) -> DataFrame:
+    """(split, image_id, gid, x, y, w, h, width, height) of COCO files by our splits' names."""
+    return reduce(DataFrame.unionByName, [coco(spark, path, target).select(F.lit(ours).alias("split"), "*") for ours, path in files.items()])
+
+
 def dense_counts(spark: SparkSession, path: str) -> DataFrame:
     """The dict-of-images JSON with xyxy boxes and example polygons: boxes, and for each example the box it overlaps most."""
     from lodestone.functions.geometry import hull, iou
