@@ -45,9 +45,9 @@ EVIDENCE = 100.0
 SMOOTHING = 24.0
 FREQUENT = 5e-7
 SLICE = 8_000_000
-HELD = 3_000_000
-WINDOW = 1 << 22
-CHUNK = 1 << 22
+HELD = 2_000_000
+WINDOW = 1 << 21
+CHUNK = 1 << 21
 END_WORD = 0x5E2D58D8B3BCDF1A  # the end token's place among word hashes
 
 
