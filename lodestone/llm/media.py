@@ -189,7 +189,11 @@ def duration_of(data: memoryview, tree: list) -> tuple[int, int]:
 
 
 def fragments(data: memoryview, tree: list) -> dict[int, list]:
-    """Per track (offset, size, is sync, duration) of the samples in movie fragments."""
+    """Per track (offset, size, is sync, duration) of the samples in movie fragments.
+
+    Offsets count from the place that a fragment's header names; else from its movie fragment, where it says so or where it is the first;
+    else from the end of the data of the fragment before it.
+    """
     defaults = {}
     if at := find(tree, b"moov", b"mvex"):
         for kind, start, _, _ in at[2]:
@@ -197,14 +201,17 @@ def fragments(data: memoryview, tree: list) -> dict[int, list]:
                 track, _, span, size, flags = struct.unpack_from(">IIIII", data, start + 4)
                 defaults[track] = (span, size, flags)
     out: dict[int, list] = {}
-    for kind, start, _, below in tree:
+    end = 0
+    for kind, _, body_end, below in tree:
+        moof, end = end, body_end  # top-level boxes touch
         if kind != b"moof":
             continue
+        place = moof
         for kind2, _, _, parts in below:
             if kind2 != b"traf" or not (at := find(parts, b"tfhd")):
                 continue
             flags, track = struct.unpack_from(">II", data, at[0])
-            p, base = at[0] + 8, start - 8
+            p, base = at[0] + 8, moof if flags & 0x20000 else place
             span, size, marks = defaults.get(track, (0, 0, 0))
             if flags & 1:
                 (base,) = struct.unpack_from(">Q", data, p)
