@@ -31,6 +31,7 @@ FAMILIES = 8
 LEVELS = 12
 BROADCAST_TERMS = 1_000_000
 NO_ID = -(1 << 63)  # stands for a null id, which comes after all others
+SALTS = 64  # parts that the rows without an id are dealt into by their texts
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -90,6 +91,11 @@ def as_text(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda v: F.lpad(F.lower(F.hex(v.cast("bigint").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
 
 
+def salt(text: Column) -> Column:
+    """The part of a row: null ids are one id, of any number of rows."""
+    return F.when(F.col("id") == NO_ID, F.pmod(F.xxhash64(text), F.lit(SALTS))).otherwise(0).cast("int")
+
+
 def next_ids(docs: DataFrame) -> DataFrame:
     """(id, next_id): the next lower of the distinct ids, after the last the first. No task holds more than its range of ids."""
     n = shuffle_partitions(docs.sparkSession)
@@ -104,9 +110,9 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_pairs(both: DataFrame, terms: DataFrame, about: Column) -> DataFrame:
-    """(id, text, edited) -> (id, about, own, edit, rows): the values of both texts, with how many rows were equal.
+    """(id, salt, text, edited) -> (id, about, own, edit, rows): the values of both texts, with how many rows were equal.
 
-    Terms are joined with the lexicon and gathered again by id, for which the rows stay in the partitions they are in.
+    Terms are joined with the lexicon and gathered again by id and salt, for which the rows stay in the partitions they are in.
     What is told about a row goes along with one of its exploded entries only.
     """
     entry = "struct<term:bigint,which:int,about:" + both.select(about.alias("a")).schema["a"].dataType.simpleString() + ">"
@@ -115,14 +121,14 @@ def fingerprint_pairs(both: DataFrame, terms: DataFrame, about: Column) -> DataF
         return F.transform(distinct_terms(F.col(text)), lambda t: F.struct(t.alias("term"), F.lit(which).alias("which"), F.lit(None).alias("about")).cast(entry))
 
     first = F.array(F.struct(F.lit(None).alias("term"), F.lit(0).alias("which"), about.alias("about")).cast(entry))
-    exploded = both.select("id", F.xxhash64("text").alias("hash"), F.explode(F.concat(first, entries("text", 1), entries("edited", 2))).alias("e")).select("id", "hash", "e.*")
+    exploded = both.select("id", "salt", F.xxhash64("text").alias("hash"), F.explode(F.concat(first, entries("text", 1), entries("edited", 2))).alias("e")).select("id", "salt", "hash", "e.*")
     in_lexicon = terms.select(F.col("term").alias("known"))
     kept = exploded.join(in_lexicon, F.col("term") == F.col("known"), "left").where((F.col("which") == 0) | F.col("known").isNotNull())
 
     def gathered(which: int) -> Column:
         return F.sort_array(F.array_distinct(F.collect_list(F.when(F.col("which") == which, F.col("term")))))
 
-    found = kept.groupBy("id", "hash").agg(F.first("about", ignorenulls=True).alias("about"), gathered(1).alias("a"), gathered(2).alias("b"), F.count_if(F.col("which") == 0).alias("rows"))
+    found = kept.groupBy("id", "salt", "hash").agg(F.first("about", ignorenulls=True).alias("about"), gathered(1).alias("a"), gathered(2).alias("b"), F.count_if(F.col("which") == 0).alias("rows"))
     own, edit = subset_hashes(F.col("a"), F.col("about.alone")), subset_hashes(F.col("b"), F.col("about.edit_alone"))
     return found.select("id", "about", own.alias("own"), edit.alias("edit"), "hash", "rows")
 
@@ -139,8 +145,10 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("for_id").alias("id"))
         .agg(F.min(F.struct(F.expr("substring(text, 1, int(need))").alias("head"), F.xxhash64("text").alias("hash"), F.col("id").alias("next_id"))).alias("lent"))
     )
-    both = rows.join(lent, "id").select(
+    lent = lent.withColumn("salt", F.explode(F.when(F.col("id") == NO_ID, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    both = rows.withColumn("salt", salt(F.col("text"))).join(lent, ["id", "salt"]).select(
         "id",
+        "salt",
         "text",
         F.expr("concat(substring(text, 1, length(text) - int(floor(length(text) / 3))), substring(lent.head, 1, int(floor(length(text) / 3))))").alias("edited"),
         "lent.next_id",
