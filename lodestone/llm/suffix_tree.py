@@ -287,13 +287,14 @@ class Tree:
                 own = (newest >= span[0]) & (newest < span[1])
                 codes, place = codes[own], place[own]
             if len(codes):
-                where, distinct = pd.factorize(codes)
-                order = np.argsort(distinct)  # neighbours are looked up together
-                logs = np.empty(len(distinct))
-                logs[order] = np.log10(self.probabilities(distinct[order]))
+                order = np.argsort(codes)  # equal ones are looked up once, neighbours together
+                codes = codes[order]
+                new = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+                logs = np.empty(len(codes))
+                logs[order] = np.repeat(np.log10(self.probabilities(codes[new])), np.diff(np.append(new, len(codes))))
                 of = np.searchsorted(text_ends, place[[0, -1]])
                 owner = np.repeat(np.arange(of[0], of[1] + 1), np.diff(np.concatenate(([0], np.searchsorted(place, text_ends[of[0] : of[1]], side="right"), [len(place)]))))
-                out += np.bincount(owner, logs[where], len(out))
+                out += np.bincount(owner, logs, len(out))
         return out
 
 
