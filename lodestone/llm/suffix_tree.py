@@ -4,7 +4,7 @@ A text is its words, A-Z in lower case, each followed by one boundary symbol, an
 that no character of any script stands outside the model. Contexts have variable length:
 
 * every string of `DEPTH` symbols and the next one is counted exactly over all training texts: in each task by sorting, then
-  in one shuffle, which alone tells how often each shorter context and its next symbols occur;
+  in one shuffle of sorted arrays, which alone tells how often each shorter context and its next symbols occur;
 * a context is retained by evidence alone: if it has `LEAST_COUNT` occurrences and its next-symbol distribution diverges from that
   of its longest retained suffix by `DIVERGENCE` nats a symbol and by `EVIDENCE` nats over all its occurrences. None of
   these depends on the corpus' size, on its partitions or on the order of its rows, and the tree grows with the corpus;
@@ -46,8 +46,10 @@ SMOOTHING = 24.0
 FREQUENT = 5e-7
 SLICE = 8_000_000
 HELD = 2_000_000
+ROW = 512
 WINDOW = 1 << 21
 CHUNK = 1 << 21
+SPREAD = 0x9E3779B97F4A7C15  # odd, to spread keys over buckets
 END_WORD = 0x5E2D58D8B3BCDF1A  # the end token's place among word hashes
 
 
@@ -103,29 +105,51 @@ def totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Counter:
-    """Sums of counts by key. What exceeds HELD keys is given out by `rows`."""
+    """Sums of counts by key."""
 
     def __init__(self, kind: int):
         self.kind, self.parts, self.held = kind, [], 0
 
     def add(self, keys: np.ndarray) -> None:
-        found, n = np.unique(keys, return_counts=True)
-        self.parts.append((found, n))
-        self.held += len(found)
-
-    def rows(self, final: bool):
-        if self.parts and (final or self.held > HELD):
-            keys, n = summed(self.parts)
-            self.parts, self.held = [(keys, n)], len(keys)
-            if final or self.held > HELD // 2:
-                for at in range(0, len(keys), 100_000):
-                    part = keys[at : at + 100_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), self.kind, np.int32)), pa.array(part), pa.array(n[at : at + 100_000])], names=["kind", "key", "n"])
-                self.parts, self.held = [], 0
+        self.put(*np.unique(keys, return_counts=True))
+
+    def put(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        self.held += len(keys)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = summed(self.parts) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.parts, self.held = [(keys, n)], len(keys)
+        return keys, n
+
+    def buckets(self, count: int, final: bool):
+        """What exceeds HELD keys, or all at last, as rows of up to ROW keys of one bucket: their bytes and those of their counts."""
+        if not final and (self.held <= HELD or len(self.sums()[0]) <= HELD // 2):
+            return
+        keys, n = self.sums()
+        self.parts, self.held = [], 0
+        bucket = ((keys * np.uint64(SPREAD) >> np.uint64(32)) % np.uint64(count)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, keys, n = bucket[order], keys[order], n[order]
+        size = np.bincount(bucket, minlength=count)
+        inside = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
+        first = np.flatnonzero(inside % ROW == 0)
+        ends = np.append(first[1:], len(keys))
+        for at in range(0, len(first), 1000):
+            spans = list(zip(first[at : at + 1000], ends[at : at + 1000], strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[first[at : at + 1000]]), pa.array(np.full(len(spans), self.kind, np.int32)), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (keys, n))],
+                names=["bucket", "kind", "keys", "counts"],
+            )
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) over all training texts: 0 words by hash, 1 strings of a symbol and the DEPTH before it."""
+    """(kind, key, n) over all training texts: 0 words by hash, 1 strings of a symbol and the DEPTH before it.
+
+    Counts go through one shuffle as arrays, by buckets of keys; a task adds up its buckets, and holds each key once.
+    """
+    partitions = shuffle_partitions(docs.sparkSession)
+    count = 8 * partitions
 
     def run(batches):
         pows, words, found = powers(), Counter(0), Counter(1)
@@ -137,12 +161,27 @@ def survey(docs: DataFrame) -> DataFrame:
                 symbols, _ = stream(data, inside, line_ends)
                 for first in range(DEPTH, len(symbols), WINDOW):
                     found.add(strings(symbols, first, min(first + WINDOW, len(symbols))))
-                    yield from found.rows(False)
-                yield from words.rows(False)
-        yield from words.rows(True)
-        yield from found.rows(True)
+                    yield from found.buckets(count, False)
+                yield from words.buckets(count, False)
+        yield from words.buckets(count, True)
+        yield from found.buckets(count, True)
 
-    return docs.select("text").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    def add_up(batches):
+        counters = Counter(0), Counter(1)
+        for batch in batches:
+            for kind, keys, n in zip(*(batch.column(c) for c in ("kind", "keys", "counts")), strict=True):
+                counter = counters[kind.as_py()]
+                counter.put(np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64))
+                if counter.held > max(HELD, 2 * len(counter.parts[0][0])):
+                    counter.sums()
+        for counter in counters:
+            keys, n = counter.sums()
+            for at in range(0, len(keys), 100_000):
+                part = keys[at : at + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), counter.kind, np.int32)), pa.array(part), pa.array(n[at : at + 100_000])], names=["kind", "key", "n"])
+
+    sent = docs.select("text").mapInArrow(run, "bucket int, kind int, keys binary, counts binary")
+    return sent.repartition(partitions, "bucket").mapInArrow(add_up, "kind int, key bigint, n bigint")
 
 
 def shorter(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
