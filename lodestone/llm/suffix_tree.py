@@ -128,7 +128,8 @@ class Counter:
             return
         keys, n = self.sums()
         self.parts, self.held = [], 0
-        bucket = ((keys * np.uint64(SPREAD) >> np.uint64(32)) % np.uint64(count)).astype(np.int32)
+        alike = keys >> np.uint64(16)  # strings that differ in their two oldest symbols alone stay neighbours, which compresses them
+        bucket = ((alike * np.uint64(SPREAD) >> np.uint64(32)) % np.uint64(count)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket, keys, n = bucket[order], keys[order], n[order]
         size = np.bincount(bucket, minlength=count)
