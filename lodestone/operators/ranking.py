@@ -18,13 +18,16 @@ def regularised(edges: DataFrame, extra: float = 0.1) -> DataFrame:
 def reaches(edges: DataFrame, rounds: int = 16) -> DataFrame:
     """(a, b): b can be reached from a over positive edges, by doubling paths; `rounds` doublings reach 2 ** rounds methods."""
     found = edges.where("weight > 0").select(F.col("winner").alias("a"), F.col("loser").alias("b")).distinct()
-    n = -1
+    n, before = -1, None
     for _ in range(rounds):
         step = found.join(found.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
         found = found.union(step).distinct().cache()
-        if (now := found.count()) == n:
+        now = found.count()
+        if before:
+            before.unpersist()
+        if now == n:
             break
-        n = now
+        n, before = now, found
     return found
 
 
