@@ -14,8 +14,8 @@ from lodestone.functions.geometry import iou
 
 
 def ordered(key: str = "pid") -> Column:
-    """The group's boxes by falling score, then y, x and key."""
-    return F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "y", "x", "w", "h", F.col(key).alias("id"))))
+    """The group's boxes by falling score, then y, x and key; the sides come last, as they must not order boxes of one corner."""
+    return F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "y", "x", F.col(key).alias("id"), "w", "h")))
 
 
 def keep_greedily(boxes: Column, clash: Callable[[Column, Column], Column]) -> Column:
@@ -58,9 +58,9 @@ def per_image(preds: DataFrame, truths: DataFrame, image: str = "image_id") -> D
     """A row for each image of either side: its predictions in order and its truths by id."""
     p = preds.groupBy(image).agg(ordered("pid").alias("preds"))
     g = truths.groupBy(image).agg(F.sort_array(F.collect_list(F.struct(F.col("gid").alias("id"), "x", "y", "w", "h"))).alias("truths"))
-    none_p = F.array().cast("array<struct<s:double,y:int,x:int,w:int,h:int,id:bigint>>")
+    none_p = F.array().cast("array<struct<s:double,y:int,x:int,id:bigint,w:int,h:int>>")
     none_g = F.array().cast("array<struct<id:bigint,x:int,y:int,w:int,h:int>>")
-    return p.join(g, image, "full").select(image, F.coalesce(F.col("preds").cast("array<struct<s:double,y:int,x:int,w:int,h:int,id:bigint>>"), none_p).alias("preds"), F.coalesce(F.col("truths").cast("array<struct<id:bigint,x:int,y:int,w:int,h:int>>"), none_g).alias("truths"))
+    return p.join(g, image, "full").select(image, F.coalesce(F.col("preds").cast("array<struct<s:double,y:int,x:int,id:bigint,w:int,h:int>>"), none_p).alias("preds"), F.coalesce(F.col("truths").cast("array<struct<id:bigint,x:int,y:int,w:int,h:int>>"), none_g).alias("truths"))
 
 
 def matched(preds: DataFrame, truths: DataFrame, threshold: float, image: str = "image_id") -> DataFrame:
