@@ -1,8 +1,10 @@
 """Boxes of one corner and one score go by their key, whatever their sides."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.functions import folds
+from lodestone.operators import evaluation
 
 BOX = "image_id int, pid bigint, x int, y int, w int, h int, score double"
 
@@ -19,3 +21,8 @@ def truth(spark):
 
 def test_suppression_keeps_the_first_key(tied):
     assert [(r.pid, r.w) for r in folds.nms(tied, ["image_id"], 0.3).collect()] == [(0, 15)]
+
+
+def test_fusion_keeps_the_first_key(tied):
+    kept = evaluation.fuse([tied, tied.withColumns({"x": F.lit(90), "pid": F.col("pid") + 5})]).collect()
+    assert {r.pid for r in kept} == {0, 11}
