@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import folds
 from lodestone.operators import evaluation
+from lodestone.operators import proposals as prop
 
 BOX = "image_id int, pid bigint, x int, y int, w int, h int, score double"
 
@@ -26,3 +27,9 @@ def test_suppression_keeps_the_first_key(tied):
 def test_fusion_keeps_the_first_key(tied):
     kept = evaluation.fuse([tied, tied.withColumns({"x": F.lit(90), "pid": F.col("pid") + 5})]).collect()
     assert {r.pid for r in kept} == {0, 11}
+
+
+def test_decoded_proposals_keep_the_first_key(tied):
+    anchors = tied.select("image_id", "pid", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"), F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h"), "score")
+    fit = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("pad_x"), F.lit(0.0).alias("pad_y"))
+    assert [(r.pid, r.w) for r in prop.decoded(anchors, fit, F.lit(50), F.lit(50), 0.1, 0.4).collect()] == [(0, 15)]
