@@ -33,3 +33,7 @@ def test_decoded_proposals_keep_the_first_key(tied):
     anchors = tied.select("image_id", "pid", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"), F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h"), "score")
     fit = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("pad_x"), F.lit(0.0).alias("pad_y"))
     assert [(r.pid, r.w) for r in prop.decoded(anchors, fit, F.lit(50), F.lit(50), 0.1, 0.4).collect()] == [(0, 15)]
+
+
+def test_the_first_key_takes_the_truth(tied, truth):
+    assert {r.pid: r.gid for r in evaluation.match_flags(tied, truth).collect()} == {0: 0, 1: None}
