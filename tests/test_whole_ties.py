@@ -37,3 +37,7 @@ def test_decoded_proposals_keep_the_first_key(tied):
 
 def test_the_first_key_takes_the_truth(tied, truth):
     assert {r.pid: r.gid for r in evaluation.match_flags(tied, truth).collect()} == {0: 0, 1: None}
+
+
+def test_overlay_marks_the_first_key(tied, truth):
+    assert {(r.kind, r.id) for r in evaluation.labelled_overlay(tied, truth).collect()} == {("TP", 0), ("FP", 1)}
