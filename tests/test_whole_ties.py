@@ -41,3 +41,7 @@ def test_the_first_key_takes_the_truth(tied, truth):
 
 def test_overlay_marks_the_first_key(tied, truth):
     assert {(r.kind, r.id) for r in evaluation.labelled_overlay(tied, truth).collect()} == {("TP", 0), ("FP", 1)}
+
+
+def test_curve_ranks_and_flags_in_one_order(tied, truth):
+    assert [(r["rank"], r.tp, r.precision) for r in evaluation.pr_curve(tied, truth).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 1, 0.5)]
