@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions import folds
+from lodestone.functions import batches, folds
 
 
 def self_similarity(self_score: Column, retain: float = 0.85) -> Column:
@@ -41,35 +43,64 @@ def clamped(threshold: Column, degenerate: Column, floor: float = 0.7) -> Column
     return F.when(degenerate, F.lit(floor)).otherwise(F.greatest(threshold, F.lit(floor)))
 
 
+def separated(s: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Thresholds of groups of one size (a row of sorted scores each), and which are degenerate: see `gmm`."""
+    groups, n = s.shape
+    threshold, degenerate = np.full(groups, np.nan), np.ones(groups, bool)
+    if not n:
+        return threshold, degenerate
+    if n < 2:
+        return s[:, 0] - 1e-9, degenerate
+    at, all_groups = np.diff(s).argmax(1), np.arange(groups)
+    threshold = (s[all_groups, at] + s[all_groups, at + 1]) / 2
+    if n < 4:
+        return threshold, degenerate
+    fit = np.flatnonzero(s[:, 0] != s[:, -1])
+    own = s[fit]
+    x = np.ascontiguousarray(own.T)[:, None]  # score, side, group
+    mean = np.stack([own[:, : n // 2].mean(1), own[:, n // 2 :].mean(1)])
+    var, share = np.repeat(own.var(1)[None] / 4 + 1e-9, 2, 0), np.full((2, len(fit)), 0.5)
+    left, ends = np.arange(len(fit)), (mean.copy(), var.copy(), share.copy())
+    for _ in range(rounds):
+        if not len(left):
+            break
+        like = share * np.exp(-((x - mean) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var)
+        like /= np.maximum(like.sum(1, keepdims=True), 1e-300)
+        weight = np.maximum(like.sum(0), 1e-12)
+        new = (like * x).sum(0) / weight
+        var, share = (like * (x - new) ** 2).sum(0) / weight + 1e-9, weight / n
+        done = np.abs(new - mean).max(0) < 1e-9
+        mean = np.where(done, mean, new)
+        for end, now in zip(ends, (mean, var, share)):
+            end[:, left] = now
+        if done.any():
+            left, x, mean, var, share = left[~done], x[:, :, ~done], mean[:, ~done], var[:, ~done], share[:, ~done]
+    mean, var, share = ends
+    by_mean = np.argsort(mean, axis=0, kind="stable")
+    mean, var, share = (np.take_along_axis(e, by_mean, 0) for e in (mean, var, share))
+    apart = ~((mean[1] - mean[0] < 2 * np.sqrt((share * var).sum(0))) | (share.min(0) < 0.05))
+    for some in np.array_split(np.flatnonzero(apart), max(1, int(apart.sum()) // 1024)):
+        grid = np.linspace(mean[0, some], mean[1, some], 512)
+        low, high = (share[i, some] * np.exp(-((grid - mean[i, some]) ** 2) / (2 * var[i, some])) / np.sqrt(2 * np.pi * var[i, some]) for i in (0, 1))
+        threshold[fit[some]] = grid[(high >= low).argmax(0), np.arange(len(some))]
+    degenerate[fit[apart]] = False
+    return threshold, degenerate
+
+
 def gmm(scores: DataFrame, group: list[str], schema: str, rounds: int = 200) -> DataFrame:
     """Where two fitted normals are equally likely. Degenerate (too close, or one too rare): the middle of the largest gap.
 
-    Expectation-maximisation in numpy over a group's scores; `schema` gives the group's columns.
+    Expectation-maximisation in numpy over groups' scores, many groups of one size at once; `schema` gives the groups' columns. Null scores don't count.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.sort(pdf.score.to_numpy(float))
-        head = {c: [pdf[c].iloc[0]] for c in group}
-        gaps = np.diff(s)
-        middle = s[0] - 1e-9 if len(s) < 2 else (s[gaps.argmax()] + s[gaps.argmax() + 1]) / 2
-        if len(s) < 4 or s[0] == s[-1]:
-            return pd.DataFrame({**head, "threshold": [middle], "degenerate": [True]})
-        mean, var, share = np.array([s[: len(s) // 2].mean(), s[len(s) // 2 :].mean()]), np.full(2, s.var() / 4 + 1e-9), np.full(2, 0.5)
-        for _ in range(rounds):
-            like = share * np.exp(-((s[:, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var)
-            own = like / np.maximum(like.sum(1, keepdims=True), 1e-300)
-            n = np.maximum(own.sum(0), 1e-12)
-            new = (own * s[:, None]).sum(0) / n
-            var, share = (own * (s[:, None] - new) ** 2).sum(0) / n + 1e-9, n / len(s)
-            if np.abs(new - mean).max() < 1e-9:
-                break
-            mean = new
-        low, high = np.argsort(mean)
-        spread = np.sqrt((share * var).sum())
-        if mean[high] - mean[low] < 2 * spread or share.min() < 0.05:
-            return pd.DataFrame({**head, "threshold": [middle], "degenerate": [True]})
-        grid = np.linspace(mean[low], mean[high], 512)
-        like = share * np.exp(-((grid[:, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var)
-        return pd.DataFrame({**head, "threshold": [grid[(like[:, high] >= like[:, low]).argmax()]], "degenerate": [False]})
-
-    return scores.select(*group, "score").groupBy(*group).applyInPandas(run, f"{schema}, threshold double, degenerate boolean")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches.tables(parts):
+            starts, sizes, flat = batches.lists(table, "_s")
+            values, threshold, degenerate = batches.numbers(flat), np.zeros(len(starts)), np.zeros(len(starts), bool)
+            for (n,), at in batches.alike(sizes, cells=1 << 15):
+                threshold[at], degenerate[at] = separated(values[starts[at, None] + np.arange(n)], rounds)
+            out = [table[c] for c in group] + [pa.array(threshold, from_pandas=True), pa.array(degenerate)]
+            yield from pa.table(out, names=[*group, "threshold", "degenerate"]).to_batches()
+
+    sorted_scores = scores.groupBy(*group).agg(F.sort_array(F.collect_list(F.col("score").cast("double"))).alias("_s"))
+    return sorted_scores.mapInArrow(run, f"{schema}, threshold double, degenerate boolean")
