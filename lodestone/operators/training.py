@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import batches as many
 from lodestone.functions.geometry import giou
 from lodestone.functions.vectors import cosine, dot, unit
 
@@ -99,41 +102,52 @@ def coco_targets(annotations: DataFrame, images: DataFrame, categories: DataFram
     return j.select("ann_id", "image_id", "name", ((F.col("x") + F.col("w") / 2) / side).alias("cx"), ((F.col("y") + F.col("h") / 2) / side).alias("cy"), (F.col("w") / side).alias("w"), (F.col("h") / side).alias("h"), reason.alias("reason"))
 
 
-def assignment(cost: np.ndarray) -> np.ndarray:
-    """The column of each row in a cheapest one-to-one assignment (rows no more than columns), by shortest augmenting paths."""
-    n, m = cost.shape
-    u, v, row_of = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+def assignments(cost: np.ndarray) -> np.ndarray:
+    """The columns of each row in cheapest one-to-one assignments of many tables of one shape (rows no more than columns), by shortest augmenting paths."""
+    tables, n, m = cost.shape
+    u, v, row_of = np.zeros((tables, n + 1)), np.zeros((tables, m + 1)), np.zeros((tables, m + 1), int)
     for i in range(1, n + 1):
-        row_of[0], j0 = i, 0
-        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while True:
-            used[j0] = True
-            free = ~used[1:]
-            gap = cost[row_of[j0] - 1] - u[row_of[j0]] - v[1:]
-            better = free & (gap < least[1:])
-            least[1:][better], way[1:][better] = gap[better], j0
-            j1 = int(np.where(free, least[1:], np.inf).argmin()) + 1
-            delta = least[j1]
-            u[row_of[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-            if not row_of[j0]:
-                break
-        while j0:
-            row_of[j0], j0 = row_of[way[j0]], way[j0]
-    out = np.zeros(n, int)
-    for j in range(1, m + 1):
-        if row_of[j]:
-            out[row_of[j] - 1] = j - 1
+        row_of[:, 0], j0, left = i, np.zeros(tables, int), np.arange(tables)
+        least, way, used = np.full((tables, m + 1), np.inf), np.zeros((tables, m + 1), int), np.zeros((tables, m + 1), bool)
+        while len(left):
+            at = j0[left]
+            used[left, at] = True
+            row = row_of[left, at]
+            taken = used[left]
+            gap = cost[left, row - 1] - u[left, row][:, None] - v[left, 1:]
+            best, through = least[left], way[left]
+            better = ~taken[:, 1:] & (gap < best[:, 1:])
+            best[:, 1:][better] = gap[better]
+            through[:, 1:] = np.where(better, at[:, None], through[:, 1:])
+            j1 = np.where(taken[:, 1:], np.inf, best[:, 1:]).argmin(1) + 1
+            delta = best[np.arange(len(left)), j1][:, None]
+            u[left[:, None], np.where(taken, row_of[left], 0)] += delta  # a used column's row is its own; place 0 is not read
+            v[left] -= np.where(taken, delta, 0)
+            least[left], way[left], j0[left] = np.where(taken, best, best - delta), through, j1
+            left = left[row_of[left, j1] > 0]
+        while len(left := np.flatnonzero(j0)):
+            before = way[left, j0[left]]
+            row_of[left, j0[left]] = row_of[left, before]
+            j0[left] = before
+    out = np.zeros((tables, n), int)
+    table, column = np.nonzero(row_of[:, 1:])
+    out[table, row_of[table, column + 1] - 1] = column
     return out
 
 
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """The same for one table."""
+    return assignments(cost[None])[0]
+
+
 def cheapest(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, columns) of a cheapest one-to-one assignment of the shorter side."""
-    if cost.shape[0] <= cost.shape[1]:
-        return np.arange(cost.shape[0]), assignment(cost)
-    return assignment(cost.T), np.arange(cost.shape[1])
+    """(rows, columns) of cheapest one-to-one assignments of the shorter side, for each of many tables of one shape. A pair without a cost is taken only where no other is left."""
+    known = np.isfinite(cost)
+    if not known.all():
+        cost = np.where(known, cost, 1 + 4 * min(cost.shape[1:]) * np.abs(cost[known]).max(initial=1.0))
+    if cost.shape[1] <= cost.shape[2]:
+        return np.broadcast_to(np.arange(cost.shape[1]), cost.shape[:2]), assignments(cost)
+    return assignments(cost.transpose(0, 2, 1)), np.broadcast_to(np.arange(cost.shape[2]), (len(cost), cost.shape[2]))
 
 
 def detection_costs(preds: DataFrame, truths: DataFrame, by_class: float = 1.0, by_corner: float = 5.0, by_giou: float = 2.0) -> DataFrame:
@@ -151,28 +165,54 @@ def detection_costs(preds: DataFrame, truths: DataFrame, by_class: float = 1.0,
     return p.join(g, "image_id").select("image_id", "gid", "pid", (by_corner * far - by_class * likely - by_giou * giou(edges(a), edges(b))).alias("cost"))
 
 
+PAIRS = "image_id bigint, gid bigint, pid bigint, cost double"
+
+
+def pair_table(image: np.ndarray, gid: np.ndarray, pid: np.ndarray, cost: np.ndarray) -> pa.Table:
+    return pa.table({"image_id": pa.array(image, pa.int64()), "gid": pa.array(gid, pa.int64()), "pid": pa.array(pid, pa.int64()), "cost": pa.array(cost, from_pandas=True)})
+
+
 def cheapest_pairs(costs: DataFrame) -> DataFrame:
     """The pairs of each image's cheapest assignment from all its costs (image_id, gid, pid, cost)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot(index="gid", columns="pid", values="cost")
-        cost = table.to_numpy()
-        rows, cols = cheapest(cost)
-        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "gid": table.index.to_numpy()[rows], "pid": table.columns.to_numpy()[cols], "cost": cost[rows, cols]})
-
-    return costs.groupBy("image_id").applyInPandas(run, "image_id bigint, gid bigint, pid bigint, cost double")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in many.tables(parts):
+            starts, sizes, flat = many.lists(table, "cells")
+            gid, pid, cost = (flat.field(k) for k in ("gid", "pid", "cost"))
+            gid, pid, cost = gid.to_numpy(zero_copy_only=False), pid.to_numpy(zero_copy_only=False), many.numbers(cost)
+            first = np.r_[True, (gid[1:] != gid[:-1])]
+            first[starts] = True
+            rows = np.add.reduceat(first, starts, dtype=int)
+            cols = sizes // rows
+            if (rows * cols != sizes).any():
+                raise ValueError("an image lacks the cost of a pair, or has it twice")
+            image = table["image_id"].to_numpy()
+            for (n, m), at in many.alike(rows, cols):
+                own = starts[at, None] + np.arange(n * m)
+                r, c = cheapest(cost[own].reshape(-1, n, m))
+                cell = np.take_along_axis(own, r * m + c, 1).ravel()
+                yield from pair_table(np.repeat(image[at], r.shape[1]), gid[cell], pid[cell], cost[cell]).to_batches()
+
+    cells = costs.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("gid", "pid", F.col("cost").cast("double").alias("cost")))).alias("cells"))
+    return cells.mapInArrow(run, PAIRS)
 
 
 def optimal_match(preds: DataFrame, truths: DataFrame) -> DataFrame:
     """Each truth's prediction in the cheapest assignment of its image, by summed corner distance."""
 
-    def run(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        p, g = p.sort_values("pid"), g.sort_values("gid")
-        if not len(p) or not len(g):
-            return pd.DataFrame(columns=["image_id", "gid", "pid", "cost"])
-        a, b = (x[["x", "y", "w", "h"]].to_numpy(float) for x in (g, p))
-        cost = np.abs(a[:, None] - b[None]).sum(2)
-        rows, cols = cheapest(cost)
-        return pd.DataFrame({"image_id": key[0], "gid": g.gid.to_numpy()[rows], "pid": p.pid.to_numpy()[cols], "cost": cost[rows, cols]})
-
-    return preds.groupBy("image_id").cogroup(truths.groupBy("image_id")).applyInPandas(run, "image_id bigint, gid bigint, pid bigint, cost double")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in many.tables(parts):
+            image, sides = table["image_id"].to_numpy(), []
+            for name in ("truths", "preds"):
+                starts, sizes, flat = many.lists(table, name)
+                sides.append((starts, sizes, flat.field("id").to_numpy(zero_copy_only=False), np.stack([many.numbers(flat.field(k)) for k in ("x", "y", "w", "h")], 1)))
+            (g_start, g_size, gid, g_box), (p_start, p_size, pid, p_box) = sides
+            for (n, m), at in many.alike(g_size, p_size, of=lambda n, m: 4 * n * m):
+                g, p = g_start[at, None] + np.arange(n), p_start[at, None] + np.arange(m)
+                cost = np.abs(g_box[g][:, :, None] - p_box[p][:, None]).sum(3)
+                r, c = cheapest(cost)
+                k = np.arange(len(at))[:, None]
+                yield from pair_table(np.repeat(image[at], r.shape[1]), gid[g[k, r]].ravel(), pid[p[k, c]].ravel(), cost[k, r, c].ravel()).to_batches()
+
+    in_turn = lambda df, key, name: df.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), "x", "y", "w", "h"))).alias(name))
+    return in_turn(preds, "pid", "preds").join(in_turn(truths, "gid", "truths"), "image_id").mapInArrow(run, PAIRS)
