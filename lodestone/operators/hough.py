@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import count
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import batches
 from lodestone.functions.folds import keep_greedily
 
 TURN = 360.0
@@ -133,37 +135,72 @@ def ransac(c: DataFrame, pixels: float = 3.0, tries: int = 200, least: int = 5,
     Each sample gives a proper and a mirrored similarity; the mirrored one is the map of conjugates and wins only with more inliers.
 
     If c has a column `peak`, one fit to the correspondences of each peak instead, whose number is the instance's.
+    Many images are computed at once, those of one number of correspondences together; each image draws from its own generator.
     """
     by_peak = ["peak"] if "peak" in c.columns else []
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vid")
-        z, w = (pdf.crop_x + 1j * pdf.crop_y).to_numpy(), (pdf.scene_x + 1j * pdf.scene_y).to_numpy()
-        image = pdf.image_id.iloc[0]
-        peak = [int(pdf.peak.iloc[0])] if by_peak else []
-        rng, left, out = np.random.default_rng([seed, int(image), *peak]), np.arange(len(z)), []
-        for k in peak or count():  # each round takes correspondences out
-            if len(left) < max(least, 2):
-                break
-            i, j = rng.integers(0, len(left), (2, tries))
-            i, j = left[i], left[j]
-            ok = z[i] != z[j]
-            i, j = i[ok], j[ok]
-            if not len(i):
-                break
-            found = None
-            for mirrored, source in ((False, z), (True, z.conj())):
-                p = (w[j] - w[i]) / (source[j] - source[i])
-                shift = w[i] - p * source[i]
-                near = np.abs(p[:, None] * source[left] + shift[:, None] - w[left]) < pixels
-                best = int(near.sum(1).argmax())
-                if found is None or near[best].sum() > found[0].sum():
-                    found = near[best], p[best], shift[best], mirrored
-            near, p, shift, mirrored = found
-            if near.sum() < least:
-                break
-            out.append((image, k, int(near.sum()), float(p.real), float(p.imag), float(shift.real), float(shift.imag), mirrored))
-            left = left[~near]
-        return pd.DataFrame(out, columns=["image_id", "instance", "inliers", "a", "b", "tx", "ty", "mirrored"])
-
-    return c.select("image_id", *by_peak, "vid", "crop_x", "crop_y", "scene_x", "scene_y").groupBy("image_id", *by_peak).applyInPandas(run, "image_id bigint, instance int, inliers int, a double, b double, tx double, ty double, mirrored boolean")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches.tables(parts):
+            starts, sizes, flat = batches.lists(table, "_c")
+            part = {k: batches.numbers(flat.field(k)) for k in ("crop_x", "crop_y", "scene_x", "scene_y")}
+            z, w = part["crop_x"] + 1j * part["crop_y"], part["scene_x"] + 1j * part["scene_y"]
+            keys = np.stack([table[k].to_numpy() for k in ("image_id", *by_peak)], 1)
+            for (n,), at in batches.alike(sizes, cells=1 << 16):
+                if n < max(least, 2):
+                    continue
+                own, rng = starts[at, None] + np.arange(n), [np.random.default_rng([seed, *k]) for k in keys[at].tolist()]
+                work, k = [(np.arange(len(at)), z[own], w[own])], 0
+                while work:  # each round takes correspondences out
+                    later = []
+                    for who, zs, ws in work:
+                        size = zs.shape[1]
+                        for i in range(0, len(who), step := max(1, (1 << 20) // (size * min(tries, size * size)))):
+                            some = slice(i, i + step)
+                            draws = np.stack([rng[g].integers(0, size, (2, tries)) for g in who[some]])
+                            ok, near, model, mirrored = best_fits(zs[some], ws[some], draws, pixels)
+                            count = near.sum(1)
+                            ok &= count >= least
+                            at_ok = at[who[some]][ok]
+                            number = keys[at_ok, 1] if by_peak else np.full(len(at_ok), k)
+                            p, shift = model[ok].T
+                            out = [keys[at_ok, 0], number.astype(np.int32), count[ok].astype(np.int32), p.real, p.imag, shift.real, shift.imag, mirrored[ok]]
+                            yield from pa.table([pa.array(np.ascontiguousarray(x)) for x in out], names=["image_id", "instance", "inliers", "a", "b", "tx", "ty", "mirrored"]).to_batches()
+                            for m in np.unique(size - count[ok]):
+                                if m >= max(least, 2) and not by_peak:
+                                    more = ok & (size - count == m)
+                                    later.append((who[some][more], zs[some][more][~near[more]].reshape(-1, m), ws[some][more][~near[more]].reshape(-1, m)))
+                    work, k = later, k + 1
+
+    each = c.groupBy("image_id", *by_peak).agg(F.sort_array(F.collect_list(F.struct("vid", "crop_x", "crop_y", "scene_x", "scene_y"))).alias("_c"))
+    return each.mapInArrow(run, "image_id bigint, instance int, inliers int, a double, b double, tx double, ty double, mirrored boolean")
+
+
+def best_fits(z: np.ndarray, w: np.ndarray, draws: np.ndarray, pixels: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For images of one size (a row each): whether a draw (image, 2, try) has two places; the inliers, the model (p, shift) of the first best draw, and whether it is mirrored.
+
+    Where all ordered pairs are fewer than the draws, each pair is fitted once and the draws look it up.
+    """
+    images, n = z.shape
+    first, second = draws[:, 0], draws[:, 1]
+    each = np.arange(images)[:, None]
+    if n * n <= draws.shape[2]:
+        i, j = (np.broadcast_to(x.ravel(), (images, n * n)) for x in np.indices((n, n)))
+        place = first * n + second
+    else:
+        i, j, place = first, second, np.broadcast_to(np.arange(draws.shape[2]), first.shape)
+    apart, found = z[each, i] != z[each, j], None
+    one = np.arange(images)
+    for mirrored, source in ((False, z), (True, z.conj())):
+        step = np.where(apart, source[each, j] - source[each, i], 1)
+        p = (w[each, j] - w[each, i]) / step
+        shift = w[each, i] - p * source[each, i]
+        near = np.abs(p[..., None] * source[:, None] + shift[..., None] - w[:, None]) < pixels
+        counts = np.where(apart, near.sum(2), -1)
+        best = place[one, counts[each, place].argmax(1)]
+        now = near[one, best], np.stack([p[one, best], shift[one, best]], 1), counts[one, best]
+        if found is None:
+            found, turned = now, np.zeros(images, bool)
+        else:
+            turned = now[2] > found[2]
+            found = np.where(turned[:, None], now[0], found[0]), np.where(turned[:, None], now[1], found[1]), np.maximum(now[2], found[2])
+    return found[2] >= 0, found[0], found[1], turned

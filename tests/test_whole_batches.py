@@ -21,3 +21,17 @@ def test_a_pair_without_cost_comes_last(spark):
     rows = [(1, 0, 0, None), (1, 0, 1, 9.0), (1, 1, 0, 1.0), (1, 1, 1, 1.0), (2, 0, 7, None)]
     got = training.cheapest_pairs(spark.createDataFrame(rows, "image_id bigint, gid bigint, pid bigint, cost double")).collect()
     assert {tuple(r) for r in got} == {(1, 0, 1, 9.0), (1, 1, 0, 1.0), (2, 0, 7, None)}
+
+
+def test_matches_of_images_of_many_shapes(spark):
+    rng = np.random.default_rng(8)
+    box = lambda: tuple(int(a) for a in rng.integers(0, 50, 4))
+    preds = [(i, p, *box()) for i in range(40) for p in range(i % 5)]
+    truths = [(i, g, *box()) for i in range(40) for g in range(i % 4)]
+    got = {}
+    for r in training.optimal_match(spark.createDataFrame(preds, "image_id bigint, pid bigint, x int, y int, w int, h int"), spark.createDataFrame(truths, "image_id bigint, gid bigint, x int, y int, w int, h int")).collect():
+        got.setdefault(r.image_id, []).append(r.cost)
+    for i in range(40):
+        a, b = ([np.array(r[2:]) for r in rows if r[0] == i] for rows in (truths, preds))
+        a, b = sorted((a, b), key=len)
+        assert sum(got.get(i, [])) == min(sum(abs(x - y).sum() for x, y in zip(a, p)) for p in itertools.permutations(b, len(a)))
