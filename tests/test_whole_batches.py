@@ -35,3 +35,15 @@ def test_matches_of_images_of_many_shapes(spark):
         a, b = ([np.array(r[2:]) for r in rows if r[0] == i] for rows in (truths, preds))
         a, b = sorted((a, b), key=len)
         assert sum(got.get(i, [])) == min(sum(abs(x - y).sum() for x, y in zip(a, p)) for p in itertools.permutations(b, len(a)))
+
+
+def test_fits_of_pairs_are_the_fits_of_draws():
+    rng = np.random.default_rng(6)
+    z = rng.integers(0, 9, (50, 6)) + 1j * rng.integers(0, 9, (50, 6))
+    w = z + rng.integers(0, 3, (50, 6)) * 4 + 7j
+    draws = rng.integers(0, 6, (50, 2, 200))
+    by_pair = hough.best_fits(z, w, draws, 3.0)
+    by_draw = hough.best_fits(z, w, draws[:, :, :30], 3.0)  # fewer draws than pairs: each is fitted
+    again = hough.best_fits(z, w, np.concatenate([draws[:, :, :30]] * 2, 2), 3.0)  # 60 draws of the same 30
+    assert by_pair[0].all() and (by_pair[1].sum(1) >= by_draw[1].sum(1)).all()
+    assert np.array_equal(by_draw[1], again[1]) and np.array_equal(by_draw[3], again[3]) and np.allclose(by_draw[2], again[2])
