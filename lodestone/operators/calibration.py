@@ -27,9 +27,25 @@ def largest_gap(scores: DataFrame, group: list[str], top: int = 50) -> DataFrame
     return best.select(*group, F.when(F.col("n") == 1, F.col("top") - 1e-9).otherwise((F.col("b.score") + F.col("b.next")) / 2).alias("threshold"))
 
 
-def contrast(scores: DataFrame, group: list[str]) -> DataFrame:
-    """0.5 * (mean + deviation) + 0.5 * 0.85 * the 99.5th percentile."""
-    return scores.groupBy(*group).agg((0.5 * (F.avg("score") + F.stddev_pop("score")) + 0.5 * 0.85 * F.percentile("score", F.lit(0.995))).alias("threshold"))
+def contrast(scores: DataFrame, group: list[str], order: list[str] | None = None) -> DataFrame:
+    """0.5 * (mean + deviation) + 0.5 * 0.85 * the 99.5th percentile.
+
+    With `order`, a group's scores are added one after the other by these columns (for groups that fit a row), so that the last digits are the same in every run.
+    """
+    top = F.percentile("score", F.lit(0.995))
+    if order is None:
+        return scores.groupBy(*group).agg((0.5 * (F.avg("score") + F.stddev_pop("score")) + 0.5 * 0.85 * top).alias("threshold"))
+
+    def step(a: Column, r: Column) -> Column:
+        n, off = a["n"] + 1, r["score"] - a["mean"]
+        mean = a["mean"] + off / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["squares"] + (r["score"] - mean) * off).alias("squares"), (a["total"] + r["score"]).alias("total"))
+
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"), F.lit(0.0).alias("total"))
+    known = scores.select(*group, *order, F.col("score").cast("double").alias("score"))
+    rows = F.collect_list(F.when(F.col("score").isNotNull(), F.struct(*order, "score")))
+    sums = F.aggregate(F.sort_array(rows), none, step, lambda a: F.when(a["n"] > 0, a["total"] / a["n"] + F.sqrt(a["squares"] / a["n"])))
+    return known.groupBy(*group).agg(sums.alias("spread"), top.alias("top")).select(*group, (0.5 * F.col("spread") + 0.5 * 0.85 * F.col("top")).alias("threshold"))
 
 
 def repeat_aware(boxes: DataFrame, self_scores: DataFrame, group: list[str], alike: float = 0.9, many: float = 0.85, retain: float = 0.35, nms_iou: float = 0.3) -> DataFrame:
