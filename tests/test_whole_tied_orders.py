@@ -8,6 +8,7 @@ from lodestone import catalog
 LINE = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
 ORDERS = {
     "decoded_proposals": [(1679, 3902, 3, 33.0, 9620.4, 0.06, 0.08), (279, 2102, 7, 12.0, 46746.46, 0.09, 0.05)],
+    "fusion_dedupe": [(1375, 1976, 7, 39.0, 86667.07, 0.07, 0.08), (1775, 2576, 4, 48.0, 10696.45, 0.09, 0.04)],
 }
 
 
