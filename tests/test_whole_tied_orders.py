@@ -9,6 +9,7 @@ LINE = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,
 ORDERS = {
     "decoded_proposals": [(1679, 3902, 3, 33.0, 9620.4, 0.06, 0.08), (279, 2102, 7, 12.0, 46746.46, 0.09, 0.05)],
     "fusion_dedupe": [(1375, 1976, 7, 39.0, 86667.07, 0.07, 0.08), (1775, 2576, 4, 48.0, 10696.45, 0.09, 0.04)],
+    "match_flags": [(328, 1326, 7, 45.0, 75825.31, 0.03, 0.08), (614, 4126, 7, 44.0, 3473.29, 0.08, 0.03), (1288, 1281, 4, 16.0, 29051.53, 0.0, 0.04), (1646, 1831, 2, 41.0, 4982.9, 0.07, 0.08)],
 }
 
 
