@@ -11,6 +11,7 @@ ORDERS = {
     "fusion_dedupe": [(1375, 1976, 7, 39.0, 86667.07, 0.07, 0.08), (1775, 2576, 4, 48.0, 10696.45, 0.09, 0.04)],
     "match_flags": [(328, 1326, 7, 45.0, 75825.31, 0.03, 0.08), (614, 4126, 7, 44.0, 3473.29, 0.08, 0.03), (1288, 1281, 4, 16.0, 29051.53, 0.0, 0.04), (1646, 1831, 2, 41.0, 4982.9, 0.07, 0.08)],
     "overlay_labels": [(604, 1353, 2, 22.0, 13683.15, 0.1, 0.05), (852, 4023, 3, 3.0, 66046.04, 0.1, 0.08), (793, 1261, 1, 39.0, 58270.4, 0.02, 0.05), (932, 79, 2, 45.0, 5724.94, 0.03, 0.01), (764, 243, 4, 35.0, 39987.19, 0.03, 0.08), (1232, 3276, 2, 9.0, 10636.33, 0.09, 0.07)],
+    "pr_curve": [(604, 1353, 2, 22.0, 13683.15, 0.1, 0.05), (852, 4023, 3, 3.0, 66046.04, 0.1, 0.08), (793, 1261, 1, 39.0, 58270.4, 0.02, 0.05), (932, 79, 2, 45.0, 5724.94, 0.03, 0.01), (764, 243, 4, 35.0, 39987.19, 0.03, 0.08), (1232, 3276, 2, 9.0, 10636.33, 0.09, 0.07)],
 }
 
 
