@@ -67,12 +67,23 @@ def taken_at(preds: Column, threshold: Column) -> Column:
     return F.transform(F.aggregate(preds, F.array().cast("array<bigint>"), step), lambda g: (g >= 0).cast("bigint"))
 
 
+def mean_of(xs: Column, n: int) -> Column:
+    """Mean of n values of 0 to 1 in binary, where an engine may add them in any order: the middle of the sums from first to last, from last to first and exact.
+
+    So if all orders of adding come out on one side of the half of a digit, the mean does too.
+    """
+    plain = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    unit = 2.0 ** (62 - (n - 1).bit_length())  # n values fit a bigint
+    whole = F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + (x * unit).cast("bigint")) / unit
+    return F.get(F.sort_array(F.array(plain(xs), plain(F.reverse(xs)), whole)), 1) / n
+
+
 def coco_ap(preds: DataFrame, truths: DataFrame) -> DataFrame:
     """Mean AP over IoU 0.50 to 0.95 in steps of 0.05, with AP50 and AP75. Overlaps are computed once for a pair; all thresholds go through one plan.
 
-    The means are of few fractions with small denominators; 12 digits leave out what adding them in binary has left, so that halves of a digit are halves.
+    A threshold's terms are added in binary by rank, as the SQL does in nearly all sums; see mean_of for the thresholds.
     """
-    grid = F.explode(F.transform(F.sequence(F.lit(50), F.lit(95), F.lit(5)), lambda t: t / 100.0))
+    grid = F.transform(F.sequence(F.lit(50), F.lit(95), F.lit(5)), lambda t: t / 100.0)
     g = truths.select("image_id", F.col("gid").cast("bigint").alias("gid"), F.struct("x", "y", "w", "h").alias("g"))
     p = preds.select("image_id", "pid", "score", "y", "x", F.struct("x", "y", "w", "h").alias("p"))
     overlap = iou(F.col("p"), F.col("g"))
@@ -83,10 +94,12 @@ def coco_ap(preds: DataFrame, truths: DataFrame) -> DataFrame:
     taken = F.coalesce(taken_at(F.col("preds"), F.col("t")), F.array().cast("array<bigint>"))
     ranks = F.filter(F.transform(taken, lambda hit, k: F.when(hit == 1, k + 1)), lambda k: k.isNotNull())
     precisions = F.reverse(F.transform(F.col("ranks"), lambda rank, i: (i + 1) / rank))  # the envelope falls on hits alone
-    area = F.aggregate(precisions, F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("sum")), lambda a, p: F.struct(F.greatest(a["top"], p).alias("top"), (a["sum"] + F.greatest(a["top"], p) / F.col("n")).alias("sum")), lambda a: a["sum"])
-    ap = images.withColumn("t", grid).withColumn("ranks", ranks).select("image_id", "t", area.alias("ap"))
-    at = lambda t: F.max(F.when(F.col("t") == t, F.col("ap")))
-    return ap.groupBy("image_id").agg(*[F.round(e, 12).alias(c) for c, e in (("ap", F.avg("ap")), ("ap50", at(0.5)), ("ap75", at(0.75)))])
+    none = F.struct(F.lit(0.0).alias("top"), F.array().cast("array<double>").alias("envelope"))
+    envelope = F.aggregate(precisions, none, lambda a, p: F.struct(F.greatest(a["top"], p).alias("top"), F.concat(F.array(F.greatest(a["top"], p)), a["envelope"]).alias("envelope")), lambda a: a["envelope"])
+    area = F.aggregate(envelope, F.lit(0.0), lambda s, p: s + p / F.col("n"))
+    ap = images.withColumn("t", F.explode(grid)).withColumn("ranks", ranks).select("image_id", "t", area.alias("ap"))
+    aps = ap.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "ap"))), lambda z: z["ap"]).alias("aps"))
+    return aps.select("image_id", mean_of(F.col("aps"), 10).alias("ap"), F.get("aps", 0).alias("ap50"), F.get("aps", 5).alias("ap75"))
 
 
 def counting_errors(df: DataFrame, group: list[str], predicted: str = "predicted_count", true: str = "true_count") -> DataFrame:
